@@ -1,9 +1,275 @@
-"""Personal information inside free text (problem 6)."""
+"""Personal information inside free text (problem 6).
 
+A character-level bidirectional LSTM with CRF transitions, trained in numpy (see personal_train), marks spans of five types.
+A text of any length is cut in overlapping windows, each is read by the LSTM in both directions, where windows overlap their
+scores are averaged with more weight on the window in whose middle a character stands, and one Viterbi pass over the whole
+text decodes them globally. Spans are then widened to whole words and held against what their type must contain.
 
-def found_types(df):
-    raise NotImplementedError
+Characters are read in their look-alike form (problem 1) and spans refer to the stored text, of which all else is kept.
 
+Defined results: a null text stays null and holds nothing, an empty one stays empty; rows of one source_id are one record in
+``found_types`` (each row by itself in ``redacted``); other columns are ignored; an empty table gives no rows.
+"""
 
-def redacted(df):
-    raise NotImplementedError
+from __future__ import annotations
+
+import io
+import re
+import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.llm.lookalike import mapping, records
+
+TYPES = ("email", "phone", "identity_number", "street_address", "person_name")
+#: Outside, and for each type its first and its further characters.
+TAGS = ["O", *(f"{x}-{t}" for t in TYPES for x in "BI")]
+WEIGHTS = Path(__file__).with_name("personal_weights.npz")
+WINDOW, STRIDE = 192, 128
+BATCH = 768
+
+#: Ids of characters: 0 padding, 1 to 95 printable ASCII, then named signs, classes, and BUCKETS for ideographs.
+SIGNS = "，。：；、（）！？“”‘’《》【】「」—–…·"
+BUCKETS = 1024
+CLASSES = ("Lu", "Ll", "L", "N", "P", "S", "Z", "C", "M")
+FIRST_CLASS = 96 + len(SIGNS)
+FIRST_BUCKET = FIRST_CLASS + len(CLASSES)
+VOCABULARY = FIRST_BUCKET + BUCKETS
+
+
+def _id(ch: str) -> int:
+    cp = ord(ch)
+    if 32 <= cp < 127:
+        return cp - 31
+    if ch in SIGNS:
+        return 96 + SIGNS.index(ch)
+    if 0x3400 <= cp < 0xA000 or 0x20000 <= cp < 0x33480:
+        return FIRST_BUCKET + cp % BUCKETS
+    base = unicodedata.normalize("NFD", ch)[0]
+    if base != ch and 32 <= ord(base) < 127:
+        return ord(base) - 31
+    kind = unicodedata.category(ch)
+    return FIRST_CLASS + next(i for i, k in enumerate(CLASSES) if kind.startswith(k))
+
+
+@lru_cache(1)
+def _basic() -> np.ndarray:
+    """The id of each character of the basic plane, -1 for those that show nothing."""
+    out = np.full(0x10000, FIRST_CLASS + CLASSES.index("L"), dtype=np.int16)
+    for cp in (*range(0x3000), *range(0x3000, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x10000)):
+        out[cp] = _id(chr(cp))
+    out[0x3400:0xA000] = FIRST_BUCKET + np.arange(0x3400, 0xA000) % BUCKETS
+    for a, b in mapping().items():
+        if len(a) == 1 and ord(a) < 0x10000:
+            out[ord(a)] = _id(b[0]) if b else -1
+    return out
+
+
+def read(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a text's visible characters and their places in it."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    ids = _basic()[np.minimum(codes, 0xFFFF)]
+    for i in np.flatnonzero(codes > 0xFFFF):
+        seen = mapping().get(chr(codes[i]), chr(codes[i]))
+        ids[i] = _id(seen[0]) if seen else -1
+    places = np.flatnonzero(ids >= 0)
+    return ids[places].astype(np.int64), places
+
+
+class Model:
+    """The trained network, for decoding: float32, with the first layer's products looked up by character."""
+
+    def __init__(self, weights: dict[str, np.ndarray]):
+        w = {k: v.astype(np.float32) for k, v in weights.items()}
+        self.hidden = w["f_wh"].shape[0]
+        half = np.full(4 * self.hidden, 0.5, np.float32)  # a sigmoid is a tanh of half its input
+        half[3 * self.hidden :] = 1
+        self.half = half
+        self.first = {d: (w["e"] @ w[f"{d}_wx"] + w[f"{d}_b"]) * half for d in "fb"}
+        self.next = {d: w[f"{d}_wh"] * half for d in "fb"}
+        self.out, self.bias, self.moves, self.begin = w["wo"], w["bo"], w["a"], w["s"]
+
+    def _direction(self, ids: np.ndarray, d: str) -> np.ndarray:
+        steps, n, h = len(ids), ids.shape[1], self.hidden
+        first, step = self.first[d], self.next[d]
+        state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+        out = np.empty((steps, n, h), np.float32)
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            z = first[ids[t]]
+            z += state @ step
+            np.tanh(z, out=z)
+            gates = z[:, : 3 * h]
+            gates *= 0.5
+            gates += 0.5
+            cell *= gates[:, h : 2 * h]
+            cell += gates[:, :h] * z[:, 3 * h :]
+            state = np.tanh(cell)
+            state *= gates[:, 2 * h :]
+            out[t] = state
+        return out
+
+    def scores(self, ids: np.ndarray) -> np.ndarray:
+        """(steps, windows, tags) for ids (steps, windows)."""
+        h = self.hidden
+        return self._direction(ids, "f") @ self.out[:h] + self._direction(ids, "b") @ self.out[h:] + self.bias
+
+    def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """The best tags of each text, by Viterbi over the whole of it; texts of like length go together."""
+        out: list = [None] * len(scores)
+        order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
+        at = 0
+        while at < len(order):
+            some = order[at : at + max(1, min(512, 400_000 // max(1, len(scores[order[min(at + 64, len(order) - 1)]]))))]
+            at += len(some)
+            size = np.array([len(scores[i]) for i in some])
+            top, n = int(size.max(initial=0)), len(some)
+            if not top:
+                for i in some:
+                    out[i] = np.zeros(0, np.int64)
+                continue
+            padded = np.zeros((top, n, len(TAGS)), np.float32)
+            for k, i in enumerate(some):
+                padded[: size[k], k] = scores[i]
+            best, back = padded[0] + self.begin, np.zeros((top, n, len(TAGS)), np.int8)
+            for t in range(1, top):
+                paths = best[:, :, None] + self.moves
+                back[t] = paths.argmax(1)
+                best = np.where((t < size)[:, None], paths.max(1) + padded[t], best)
+            tag = best.argmax(1)
+            tags = np.zeros((n, top), np.int64)
+            rows = np.arange(n)
+            for t in range(top - 1, -1, -1):
+                live = t < size
+                tags[rows[live], t] = tag[live]
+                if t:
+                    tag = np.where(live, back[t][rows, tag], tag)
+            for k, i in enumerate(some):
+                out[i] = tags[k, : size[k]]
+        return out
+
+    def tags(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """The tags of texts given as ids."""
+        of, start = [], []
+        for i, ids in enumerate(texts):
+            for s in range(0, max(1, len(ids) - (WINDOW - STRIDE)), STRIDE) if len(ids) else ():
+                of.append(i)
+                start.append(s)
+        total = [np.zeros((len(x), len(TAGS)), np.float32) for x in texts]
+        weight = [np.zeros((len(x), 1), np.float32) for x in texts]
+        trust = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None] ** 2
+        for lo in range(0, len(of), BATCH):
+            part = range(lo, min(lo + BATCH, len(of)))
+            top = max(min(WINDOW, len(texts[of[w]]) - start[w]) for w in part)
+            ids = np.zeros((top, len(part)), np.int64)
+            for k, w in enumerate(part):
+                own = texts[of[w]][start[w] : start[w] + WINDOW]
+                ids[: len(own), k] = own
+            found = self.scores(ids)
+            for k, w in enumerate(part):
+                i, s = of[w], start[w]
+                n = min(WINDOW, len(texts[i]) - s)
+                total[i][s : s + n] += found[:n, k] * trust[:n]
+                weight[i][s : s + n] += trust[:n]
+        return self.decode([a / b if len(a) else a for a, b in zip(total, weight, strict=True)])
+
+
+#: Fixed checks: what a span of each type must contain.
+_MUST = {
+    "email": lambda s: re.search(r"[^\s@]@[^\s@]+\.|[\[(]?\bat\b[\])]?|＠", s, re.I) is not None,
+    "phone": lambda s: sum(c.isdigit() for c in s) >= 7,
+    "identity_number": lambda s: sum(c.isdigit() for c in s) >= 6,
+    "street_address": lambda s: any(c.isdigit() for c in s) and any(c.isalpha() for c in s),
+    "person_name": lambda s: sum(c.isalpha() for c in s) >= 2 and not any(c.isdigit() for c in s),
+}
+
+
+def _word(a: str, b: str) -> bool:
+    """Whether two neighbouring characters are of one word (of a script with words)."""
+    return a.isalnum() and b.isalnum() and ord(a) < 0x2E80 and ord(b) < 0x2E80
+
+
+def spans(text: str, tags: np.ndarray, places: np.ndarray) -> list[tuple[int, int, str]]:
+    """(start, end, type) in the stored text."""
+    out: list[list] = []
+    for tag, at in zip(tags, places, strict=True):
+        if tag == 0:
+            continue
+        kind = TYPES[(tag - 1) // 2]
+        if tag % 2 == 0 and out and out[-1][2] == kind and out[-1][3] == at:
+            out[-1][1] = at + 1
+        else:
+            out.append([at, at + 1, kind, at])
+        nexts = np.searchsorted(places, at, "right")
+        out[-1][3] = places[nexts] if nexts < len(places) else -1
+    done: list[tuple[int, int, str]] = []
+    for a, b, kind, _ in out:
+        while a > 0 and _word(text[a - 1], text[a]):
+            a -= 1
+        while b < len(text) and _word(text[b - 1], text[b]):
+            b += 1
+        if done and a < done[-1][1]:
+            a = done[-1][1]
+        if a < b and _MUST[kind](unicodedata.normalize("NFKC", text[a:b])):
+            done.append((int(a), int(b), kind))
+    return done
+
+
+def load(data: bytes) -> Model:
+    with np.load(io.BytesIO(data)) as file:
+        return Model(dict(file))
+
+
+def find_spans(model: Model, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
+    read_all = [read(t or "") for t in texts]
+    return [spans(t or "", tags, places) for t, tags, (_, places) in zip(texts, model.tags([ids for ids, _ in read_all]), read_all, strict=True)]
+
+
+def _sent(df: DataFrame, weights: Path | str) -> object:
+    """The weights as a broadcast: a file of this package, of fixed size (under 1 MB)."""
+    return df.sparkSession.sparkContext.broadcast(Path(weights).read_bytes())
+
+
+_LOADED: dict[int, Model] = {}
+
+
+def _model(sent: object) -> Model:
+    data = sent.value
+    key = hash(data)
+    if key not in _LOADED:
+        _LOADED[key] = load(data)
+    return _LOADED[key]
+
+
+def found_types(df: DataFrame, weights: Path | str = WEIGHTS) -> DataFrame:
+    """(source_id, pii_type): every type that a record's text holds at least once. One pass; only types found are shuffled."""
+    sent = _sent(df, weights)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = find_spans(_model(sent), list(pdf["text"]))
+            yield pd.DataFrame([(i, k) for i, own in zip(pdf["source_id"], found, strict=True) for k in {x[2] for x in own}], columns=["source_id", "pii_type"])
+
+    return records(df).mapInPandas(run, "source_id string, pii_type string").distinct()
+
+
+def redacted(df: DataFrame, weights: Path | str = WEIGHTS) -> DataFrame:
+    """(source_id, text) of every row, a typed placeholder such as [EMAIL] in place of every item."""
+    sent = _sent(df, weights)
+
+    def put(text: str | None, own: list[tuple[int, int, str]]) -> str | None:
+        for a, b, kind in reversed(own):
+            text = f"{text[:a]}[{kind.upper()}]{text[b:]}"
+        return text
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = [t if isinstance(t, str) else None for t in pdf["text"]]
+            yield pdf.assign(text=[put(t, own) for t, own in zip(texts, find_spans(_model(sent), texts), strict=True)])
+
+    return df.select(F.col("source_id").cast("string").alias("source_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "source_id string, text string")
