@@ -184,8 +184,8 @@ _MUST = {
     "email": lambda s: re.search(r"[^\s@]@[^\s@]+\.|[\[(]?\bat\b[\])]?|＠", s, re.I) is not None,
     "phone": lambda s: sum(c.isdigit() for c in s) >= 7,
     "identity_number": lambda s: sum(c.isdigit() for c in s) >= 6,
-    "street_address": lambda s: any(c.isdigit() for c in s) and any(c.isalpha() for c in s),
-    "person_name": lambda s: sum(c.isalpha() for c in s) >= 2 and not any(c.isdigit() for c in s),
+    "street_address": lambda s: re.search(r"\d[A-Za-z]?,?\s+[A-Z]|[\u3400-\u9fff]\s*\d+\s*[\u3400-\u9fff]", s) is not None,
+    "person_name": lambda s: re.search(r"[A-ZÀ-Þ]|[\u3400-\u9fff]", s) is not None and sum(c.isalpha() for c in s) >= 2 and not any(c.isdigit() for c in s),
 }
 
 
