@@ -1,9 +1,8 @@
 """Registry of the library's own queries and their SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from corpusloom.plans.queries import queries
+from corpusloom.plans.sql import oracle_sql
 
-
-def oracle_sql() -> dict:
-    return {}
+__all__ = ["oracle_sql", "queries"]
