@@ -56,15 +56,19 @@ def words(column: Column | str) -> Column:
 
 def shingles(column: Column | str, size: int) -> Column:
     """The distinct runs of ``size`` words; all words where there are fewer; none where there is no word."""
-    w = words(column)
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < size, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(runs))
+
+    def of(w: Column) -> Column:  # the words are a variable here, so that they are computed once and not for every shingle
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < size, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(runs))
+
+    return F.element_at(F.transform(F.array(words(column)), of), 1)
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:
-    """Shared over all members of two sets; 1 for two empty ones."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Shared over all members of two arrays of distinct members; 1 for two empty ones."""
+    both = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - both
+    return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
 
 
 def has_email(column: Column | str) -> Column:

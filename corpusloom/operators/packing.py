@@ -53,7 +53,8 @@ def token_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     ids: 0 padding, 1 begin, 2 end, 4 + byte otherwise. The rows of one window are at most length + 1 tokens, so no group grows.
     """
-    code = F.transform(F.sequence(F.lit(1), F.octet_length("text")), lambda i: F.conv(F.substring(F.hex(F.encode("text", "UTF-8")), i * 2 - 1, 2), 16, 10).cast("int") + 4)
+    pairs = F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit("(..)"), 1)
+    code = F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int") + 4)
     tokens = F.when(F.octet_length("text") > 0, F.concat(F.array(F.lit(1)), code, F.array(F.lit(2)))).otherwise(F.array(F.lit(1), F.lit(2)))
     pieces = docs.withColumn("tokens", tokens).withColumn("seq", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col("global_start") - 1) / length), F.floor((F.col("global_end") - 1) / length))))
     a, b = F.greatest(F.col("global_start"), F.col("seq") * length), F.least(F.col("global_end"), (F.col("seq") + 1) * length + 1)

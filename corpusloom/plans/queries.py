@@ -448,7 +448,7 @@ def ab_controls(s, d):
 def masked_mean(s, d):
     """Of each order the mean price of its lines that were not returned."""
     t = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", F.round(F.col("l_extendedprice") * 100).alias("cents"), (F.col("l_returnflag") != "R").cast("int").alias("m"))).alias("x"))  # seven lines an order at most
-    return t.select("l_orderkey", F.bround(feed.masked_mean(F.col("x.cents"), F.col("x.m")) / 100, 4).alias("mean_price"))
+    return t.select("l_orderkey", F.bround(feed.masked_mean(F.col("x.cents"), F.col("x.m")), 6).alias("mean_cents"))
 
 
 def token_weighted_loss(s, d):

@@ -144,7 +144,7 @@ def oracle_sql() -> dict[str, str]:
         "ab_compare": f"WITH {LOSSES} SELECT round_even(b, 6) AS baseline, round_even(c, 6) AS candidate, round_even(c - b, 6) AS delta, round_even(c / b, 6) AS ratio FROM (SELECT avg(loss) FILTER (WHERE run = 'baseline') AS b, avg(loss) FILTER (WHERE run = 'candidate') AS c FROM losses)",
         "ab_seed_aggregate": f"WITH {LOSSES} SELECT round_even(avg(d), 6) AS mean_delta, round_even(stddev_pop(d), 6) AS std_delta, count(*) FILTER (WHERE d < 0) AS better, count(*) FILTER (WHERE d > 0) AS worse, count(*) FILTER (WHERE d = 0) AS equal FROM (SELECT seed, avg(loss) FILTER (WHERE run = 'candidate') - avg(loss) FILTER (WHERE run = 'baseline') AS d FROM losses GROUP BY seed)",
         "ab_controls": f"WITH {LOSSES} SELECT count(*) AS n_sequences, count(*) FILTER (WHERE n = 2) AS in_both, (SELECT count(DISTINCT seed) FROM losses WHERE run IS NOT NULL) AS n_seeds FROM (SELECT sequence_id, count(DISTINCT run) AS n FROM losses WHERE run IS NOT NULL GROUP BY sequence_id)",
-        "masked_mean": "SELECT l_orderkey, round_even(avg(round(l_extendedprice * 100)) FILTER (WHERE l_returnflag <> 'R') / 100, 4) AS mean_price FROM lineitem GROUP BY l_orderkey",
+        "masked_mean": "SELECT l_orderkey, round_even(avg(round(l_extendedprice * 100)) FILTER (WHERE l_returnflag <> 'R'), 6) AS mean_cents FROM lineitem GROUP BY l_orderkey",
         "token_weighted_loss": f"WITH {LOSSES} SELECT run, round_even(sum(loss * n_tokens) / sum(n_tokens), 6) AS loss, CAST(sum(n_tokens) AS BIGINT) AS n_tokens FROM losses WHERE run IS NOT NULL GROUP BY run",
         "content_fingerprint": f"WITH {RAW}, h AS (SELECT sha256(source_id || '|' || text) AS h FROM raw) SELECT count(*) AS n, {', '.join(f'CAST(sum((chr(48) || chr(120) || substr(h, {1 + 8 * i}, 8))::UBIGINT) AS BIGINT) AS sum_{i}' for i in range(4))} FROM h",
         "pretoken_counts": f"WITH {RAW} SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '{X.WORD}')) AS word FROM raw) GROUP BY word",
