@@ -6,8 +6,6 @@ empty results.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,11 +98,6 @@ def confusion(outcomes: DataFrame) -> DataFrame:
     return c.select("tp", "fp", "fn", "tn", F.bround("p", 6).alias("precision"), F.bround("r", 6).alias("recall"), F.bround(rate(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), 6).alias("f1"))
 
 
-def prefix_length(n: int, threshold: float = SIMILARITY) -> int:
-    """How many of n shingles are joined."""
-    return n - math.ceil(n * threshold - 1e-9) + 1
-
-
 def latest(df: DataFrame, *order: str) -> DataFrame:
     """One row for each source_id: the first by the given columns."""
     w = Window.partitionBy("source_id").orderBy(*(F.col(c).asc_nulls_last() for c in order))
