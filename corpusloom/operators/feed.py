@@ -38,11 +38,11 @@ def percentiles(rows: DataFrame, group: str, value: str) -> DataFrame:
     return upto.join(F.broadcast(totals), group).groupBy(group).agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.99).alias("p99"), ((lo + hi) / 2).alias("median"))
 
 
-def line_index(rows: DataFrame, path: str, order: str, line: str) -> DataFrame:
-    """(path, line_number, offset, length) of lines in files of bounded size."""
+def line_index(rows: DataFrame, path: str, order: str, line: str, *keep: str) -> DataFrame:
+    """(path, line_number, offset, length) of lines in files of bounded size, with the columns to keep."""
     w = Window.partitionBy(path).orderBy(order)
     size = F.octet_length(line) + 1
-    return rows.select(path, (F.row_number().over(w) - 1).cast("long").alias("line_number"), (F.sum(size).over(w) - size).cast("long").alias("offset"), size.cast("long").alias("length"))
+    return rows.select(path, (F.row_number().over(w) - 1).cast("long").alias("line_number"), (F.sum(size).over(w) - size).cast("long").alias("offset"), size.cast("long").alias("length"), *keep)
 
 
 def run_means(losses: DataFrame) -> DataFrame:

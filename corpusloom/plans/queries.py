@@ -16,6 +16,8 @@ from corpusloom.streaming.feed import windowed_counts
 
 SEED = 42
 EPOCHS, WORKERS, BATCH = 3, 2, 32
+SAMPLE = 256
+SCANNED = ("raw_documents", "lab04", "documents")
 
 
 def raw(s: SparkSession, d: str) -> DataFrame:
@@ -67,7 +69,10 @@ def ctas_json_infer(s, d):
 
 
 def seq_scan_bytes(s, d):
-    return files.sequential_bytes(s, f"{d}/nation.parquet").agg(F.count("*").alias("n_files"), F.sum("n_bytes").alias("n_bytes"))
+    """Every byte of the files of the corpus tables: how many files and bytes, and one digest, of the blocks' digests in order of file and block."""
+    blocks = files.sequential_bytes(s, [f"{d}/{n}.parquet" for n in SCANNED])
+    ordered = F.array_sort(F.collect_list(F.struct("path", "block", "sha256")))  # one entry for 8 MB
+    return blocks.agg(F.count_distinct("path").alias("n_files"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes"), F.sha2(F.array_join(ordered["sha256"], ""), 256).alias("sha256"))
 
 
 # similarity
@@ -407,9 +412,14 @@ def line_offset_index(s, d):
 
 
 def random_sample_read(s, d):
-    """256 lines by hash rank, with their bytes: a sampling operator."""
-    lines = raw(s, d).select("source_id", F.octet_length("text").alias("n_bytes"), F.sha2(F.concat(F.lit(f"{SEED}:"), "source_id"), 256).alias("h"))
-    return lines.orderBy("h", "source_id").limit(256).select("source_id", "n_bytes")
+    """256 lines by hash rank, read from their files through the line index. The index is over all files; only files that hold one of the 256 are written."""
+    stages = Stages(s)
+    lines = stages.write(_lines(s, d).withColumn("order", F.struct("pos", "source_id")))
+    picks = lines.select("source_id", F.sha2(F.concat(F.lit(f"{SEED}:"), "source_id"), 256).alias("h")).orderBy("h", "source_id").limit(SAMPLE)
+    entries = stages.write(feed.line_index(lines, "path", "order", "text", "source_id").join(F.broadcast(picks), "source_id").select("source_id", "path", "offset", "length"))
+    root = f"{stages.root}/lines"
+    files.write_lines(lines.join(F.broadcast(entries.select("path").distinct()), "path", "left_semi"), root)
+    return files.read_lines(s, entries, root).select("source_id", (F.octet_length("line") - 1).alias("n_bytes"))
 
 
 # comparisons of runs; the loss facts stand in lineitem

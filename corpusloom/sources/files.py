@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RAW = T.StructType([T.StructField("source_id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("metadata", T.VariantType()), T.StructField("_bad", T.StringType())])
+BLOCK = 8 << 20
 
 
 def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -45,6 +48,60 @@ def fingerprint(value: object) -> str:
     return hashlib.sha256(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
-def sequential_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, n_bytes, sha256) of whole files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+def _open(path: str):
+    """A file of any file system that Spark names, for reading by position."""
+    if path.startswith("file:"):
+        return open(re.sub("^file:/+", "/", path), "rb")  # noqa: SIM115 - the caller closes it
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
+def _read(path: str, offset: int, length: int) -> bytes:
+    with _open(path) as f:
+        f.seek(offset)
+        got = f.read(length)
+    if len(got) != length:
+        raise OSError(f"{path}: {len(got)} of {length} bytes at {offset}")
+    return got
+
+
+def sequential_bytes(spark: SparkSession, paths: list[str], block: int = BLOCK) -> DataFrame:
+    """(path, block, n_bytes, sha256) of all bytes of all files in the folders or files named. Each file is read in blocks of a
+    fixed size, so that no task holds a whole file and a large file is many tasks' work. Blocks are digested as they are read."""
+    listed = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("size"))
+    total = listed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // (16 * block)))
+    blocks = listed.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / block))).alias("block")).repartition(tasks)
+
+    def scan(batches):
+        for batch in batches:
+            for x in batch.to_pylist():
+                at = x["block"] * block
+                got = _read(x["path"], at, min(block, x["size"] - at))
+                yield pa.RecordBatch.from_pydict({"path": [x["path"]], "block": [x["block"]], "n_bytes": [len(got)], "sha256": [hashlib.sha256(got).hexdigest()]})
+
+    return blocks.mapInArrow(scan, "path string, block long, n_bytes long, sha256 string")
+
+
+def write_lines(lines: DataFrame, root: str, path: str = "path", order: str = "order", line: str = "text") -> None:
+    """One text file for each path, its lines in order."""
+    lines.repartition(path).sortWithinPartitions(path, order).select(path, line).write.partitionBy(path).text(root)
+
+
+def read_lines(spark: SparkSession, index: DataFrame, root: str) -> DataFrame:
+    """index (path, offset, length, ...) with the line that stands there, read from the files of write_lines by seek and read."""
+    named = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("file"), F.regexp_extract("path", "/path=([^/]+)/", 1).alias("path"))
+    entries = index.join(named, "path", "left")  # Spark doesn't list empty files, and a line without a file must not vanish
+    schema = T.StructType([*entries.drop("file").schema, T.StructField("line", T.BinaryType())])
+
+    def seek(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            if lost := sorted({x["path"] for x in rows if x["file"] is None}):
+                raise FileNotFoundError(f"no lines in {lost[:3]}")
+            got = [_read(x["file"], x["offset"], x["length"]) for x in rows]
+            yield batch.drop_columns(["file"]).append_column("line", pa.array(got, pa.binary()))
+
+    return entries.mapInArrow(seek, schema)

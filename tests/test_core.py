@@ -1,3 +1,7 @@
+import hashlib
+import shutil
+from pathlib import Path
+
 import pytest
 from compare import differ, views
 from pyspark.sql import functions as F
@@ -83,3 +87,42 @@ def test_stream_matches_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.id for r in spark.table("seen").collect()) == list(range(20))
+
+
+def test_sequential_scan_reads_every_byte(spark, tmp_path):
+    for n in ("raw_documents", "lab04", "documents"):
+        shutil.copy(f"{SMALL}/{n}.parquet", tmp_path)
+        (tmp_path / f"{n}.parquet").chmod(0o600)
+    held = {p: p.read_bytes() for p in sorted(tmp_path.glob("*.parquet"))}
+    blocks = sorted(files.sequential_bytes(spark, [str(p) for p in held], 1000).collect())
+    assert [r.sha256 for r in blocks] == [hashlib.sha256(x[i : i + 1000]).hexdigest() for x in held.values() for i in range(0, len(x), 1000)]
+    scan = catalog.queries()["seq_scan_bytes"]
+    first = scan(spark, str(tmp_path)).first()
+    assert (first.n_files, first.n_bytes) == (3, sum(map(len, held.values())))
+    assert first.sha256 == hashlib.sha256("".join(hashlib.sha256(x).hexdigest() for x in held.values()).encode()).hexdigest()
+    last = [*held][-1]
+    last.write_bytes(held[last][:5000] + bytes([held[last][5000] ^ 1]) + held[last][5001:])
+    assert scan(spark, str(tmp_path)).first().sha256 != first.sha256
+
+
+def test_sample_is_read_through_the_index(spark, tmp_path):
+    from corpusloom.operators import feed
+
+    rows = [("a", 2, "x", "zwei\nZeilen"), ("a", 1, "y", "ä"), ("b", 1, "z", "中"), ("a", 3, "w", "last")]
+    lines = spark.createDataFrame(rows, "path string, order long, source_id string, text string")
+    files.write_lines(lines, str(tmp_path / "lines"))
+    index = feed.line_index(lines, "path", "order", "text", "source_id")
+    got = files.read_lines(spark, index, str(tmp_path / "lines")).collect()
+    assert {r.source_id: bytes(r.line).decode() for r in got} == {x[2]: x[3] + "\n" for x in rows}
+    (file,) = (tmp_path / "lines" / "path=b").glob("*.txt")
+    for held, why in ((b"x", "1 of 4 bytes"), (b"", "no lines in")):
+        file.write_bytes(held)
+        with pytest.raises(Exception, match=why):
+            files.read_lines(spark, index, str(tmp_path / "lines")).collect()
+
+
+def test_sample_query_reads_files(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(files, "read_lines", lambda s, index, root, f=files.read_lines: read.append(Path(root.removeprefix("file://"))) or f(s, index, root))
+    assert differ(spark, views(SMALL), SMALL, catalog.queries()["random_sample_read"], catalog.oracle_sql()["random_sample_read"]) == ""
+    assert any(read[0].glob("path=*/*.txt"))
