@@ -43,13 +43,21 @@ def quotas(weights: DataFrame, total: DataFrame) -> DataFrame:
 
 
 def selected(docs: DataFrame, quota: DataFrame, seed: int) -> DataFrame:
-    """Of each source its quota of records, by hash rank. Ranks within a source come from a window limited by rank, which Spark
-    prunes before the shuffle; a source is never collected."""
+    """Of each source its quota of records, by hash rank, or all of them where it has fewer: the reference raises then, here
+    shortages() says for each source how many are missing, and shares are the weights only where none is. Ranks within a source
+    come from a window limited by rank, which Spark prunes before the shuffle; a source is never collected."""
     ranked = docs.join(F.broadcast(quota.select("source", "quota")), "source").withColumn("h", X.seeded_rank(seed, F.col("doc_id").cast("string")))
     w = Window.partitionBy("source").orderBy("h", "doc_id")
     return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("quota")).select("source", "doc_id", "h", F.col("rank").cast("long").alias("rank"))
 
 
+def shortages(docs: DataFrame, quota: DataFrame) -> DataFrame:
+    """(source, quota, available, missing) of every source with a quota: how many records it has, and how many its quota lacks."""
+    has = docs.groupBy("source").agg(F.count("*").alias("available"))
+    both = quota.select("source", "quota").join(has, "source", "left").withColumn("available", F.coalesce("available", F.lit(0).cast("long")))
+    return both.withColumn("missing", F.greatest(F.col("quota") - F.col("available"), F.lit(0).cast("long")))
+
+
 def policy_difference(decisions: DataFrame, contaminated: DataFrame) -> DataFrame:
     """(source_id, baseline_policy, candidate_policy, reasons): the baseline takes all records, the candidate the accepted ones that aren't contaminated."""
     c = contaminated.select("source_id").distinct().withColumn("leaks", F.lit(True))

@@ -207,16 +207,24 @@ def mix_quota(s, d):
     return _quota(s, d).select("source", F.bround("weight", 6).alias("weight"), "quota")
 
 
+def mix_shortage(s, d):
+    """What mix_select, mix_order and mix_actual_weights lack: of each source its quota, the records it has and those missing."""
+    return governance.shortages(_listed(s, d), _quota(s, d))
+
+
 def mix_select(s, d):
+    """Of each source its quota of records, or all it has: see mix_shortage."""
     return governance.selected(_listed(s, d), _quota(s, d), SEED).select("source", "doc_id", "rank")
 
 
 def mix_order(s, d):
+    """The records of mix_select in mixed order."""
     chosen = governance.selected(_listed(s, d), _quota(s, d), SEED).withColumn("order_key", F.sha2(F.concat(F.lit(f"mix:{SEED}:"), F.col("doc_id").cast("string")), 256))
     return chosen.select("doc_id", "source", "order_key").orderBy("order_key", "doc_id")
 
 
 def mix_actual_weights(s, d):
+    """Shares of what was selected; they aren't the weights where mix_shortage has missing records."""
     n = governance.selected(_listed(s, d), _quota(s, d), SEED).groupBy("source").agg(F.count("*").alias("n"))
     return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).select("source", "n", F.bround(F.col("n") / F.col("total"), 6).alias("actual_weight"))
 
@@ -485,7 +493,7 @@ def event_windows(s, d):
 
 NAMES = """doc_scan_validate normalize_text content_hash_id exact_dedup exact_dedup_stats ctas_json_infer seq_scan_bytes shingles truth_pair_canonical
 jaccard_scalar truth_outcomes dedup_confusion near_dup_pairs near_dup_members contamination_pairs dup_clusters pii_email pii_phone quality_reasons
-quality_decision reason_counts quality_metrics policy_candidate policy_diff mix_quota mix_select mix_order mix_actual_weights hash_split token_offsets
+quality_decision reason_counts quality_metrics policy_candidate policy_diff mix_quota mix_shortage mix_select mix_order mix_actual_weights hash_split token_offsets
 packing_metrics pack_provenance pack_sequences sequence_contract_check shard_assign shard_stats sequence_lineage dataset_version_metrics shard_roundtrip
 strict_budget_filter token_budget domain_agg domain_agg_equiv skew_expand hash_partition_id skew_salted_partition partition_distribution skew_improvement
 task_recovery_summary epoch_repeat worker_shard_assign feed_integrity batch_schedule resume_equivalence latency_percentiles line_offset_index

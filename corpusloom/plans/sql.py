@@ -107,6 +107,7 @@ def oracle_sql() -> dict[str, str]:
         "policy_candidate": f"{ALL} SELECT source_id FROM decisions WHERE reasons = ''",
         "policy_diff": f"{ALL} SELECT source_id, 'include' AS baseline_policy, CASE WHEN reasons = '' THEN 'include' ELSE 'exclude' END AS candidate_policy, CASE WHEN reasons = '' THEN 'quality_policy_accept' ELSE reasons END AS reasons FROM decisions",
         "mix_quota": f"WITH {LISTED} SELECT source, round_even(weight, 6) AS weight, CAST(quota AS BIGINT) AS quota FROM quota",
+        "mix_shortage": f"WITH {LISTED} SELECT q.source, CAST(q.quota AS BIGINT) AS quota, count(l.doc_id) AS available, CAST(greatest(q.quota - count(l.doc_id), 0) AS BIGINT) AS missing FROM quota q LEFT JOIN listed l ON l.source = q.source GROUP BY q.source, q.quota",
         "mix_select": f"WITH {LISTED}, {SELECTED} SELECT source, doc_id, rank FROM selected",
         "mix_order": f"WITH {LISTED}, {SELECTED} SELECT doc_id, source, sha256('mix:{SEED}:' || doc_id) AS order_key FROM selected",
         "mix_actual_weights": f"WITH {LISTED}, {SELECTED} SELECT source, count(*) AS n, round_even(count(*) / sum(count(*)) OVER (), 6) AS actual_weight FROM selected GROUP BY source",

@@ -126,3 +126,18 @@ def test_sample_query_reads_files(spark, monkeypatch):
     monkeypatch.setattr(files, "read_lines", lambda s, index, root, f=files.read_lines: read.append(Path(root.removeprefix("file://"))) or f(s, index, root))
     assert differ(spark, views(SMALL), SMALL, catalog.queries()["random_sample_read"], catalog.oracle_sql()["random_sample_read"]) == ""
     assert any(read[0].glob("path=*/*.txt"))
+
+
+def test_shortage_of_each_source(spark):
+    docs = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("b", 4), ("b", 5)], "source string, doc_id long")
+    quota = spark.createDataFrame([("a", 0.6, 3), ("b", 0.2, 1), ("c", 0.2, 1)], "source string, weight double, quota long")
+    got = {r.source: (r.quota, r.available, r.missing) for r in governance.shortages(docs, quota).collect()}
+    assert got == {"a": (3, 2, 1), "b": (1, 3, 0), "c": (1, 0, 1)}
+    assert governance.selected(docs, quota, 1).count() == sum(q - m for q, _, m in got.values())
+
+
+def test_shortage_accounts_for_the_mix(spark):
+    q = catalog.queries()
+    assert differ(spark, views(SMALL), SMALL, q["mix_shortage"], catalog.oracle_sql()["mix_shortage"]) == ""
+    rows = q["mix_shortage"](spark, SMALL).collect()
+    assert sum(r.quota - r.missing for r in rows) == q["mix_select"](spark, SMALL).count()
