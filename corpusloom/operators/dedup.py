@@ -29,6 +29,14 @@ def first_occurrences(docs: DataFrame) -> DataFrame:
     return d.groupBy("content_sha256").agg(keep.alias("k"), F.count("*").alias("copies")).select(X.doc_id("content_sha256").alias("doc_id"), F.col("k.source_id").alias("source_id"), F.col("k.pos").alias("pos"), "content_sha256", "copies")
 
 
+def first_rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns of first_occurrences' rows. Each is taken by its own minimum over pos, source_id, so that columns that nobody
+    reads are pruned, texts above all, and rows are reduced before the shuffle."""
+    order = F.struct("pos", "source_id")
+    kept = identified(docs).groupBy("content_sha256").agg(*(F.min_by(c, order).alias(c) for c in columns))
+    return kept.drop("content_sha256")
+
+
 def shingle_classes(docs: DataFrame, size: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
     """(classes, members): documents with one set of shingles are one class, named by its smallest source_id."""
     sets = docs.select("source_id", F.array_sort(X.shingles("text", size)).alias("s")).withColumn("set_id", F.sha2(F.array_join("s", "\n"), 256))

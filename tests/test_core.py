@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom import catalog
 from corpusloom.functions import text as X
 from corpusloom.operators import dedup, governance, packing
+from corpusloom.plans.sql import RAW
 from corpusloom.sources import files
 
 SMALL = "/root/testdata/sf0.001"
@@ -20,6 +21,37 @@ def test_against_sql(spark, name):
     assert differ(spark, views(SMALL), SMALL, catalog.queries()[name], catalog.oracle_sql()[name]) == ""
 
 
+#: The SQL of these leaves the deduplication by content out; here its table is cut to first occurrences, the rest of the SQL is used as it is.
+STREAMED = "token_offsets packing_metrics pack_provenance shard_assign shard_stats sequence_lineage dataset_version_metrics strict_budget_filter token_budget epoch_repeat worker_shard_assign feed_integrity batch_schedule".split()
+
+
+@pytest.mark.parametrize("name", STREAMED)
+def test_stream_has_each_text_once(spark, name):
+    first = "raw AS MATERIALIZED (SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY pos, source_id) AS nth FROM every) WHERE nth = 1)"
+    sql = catalog.oracle_sql()[name]
+    assert sql.count(RAW) == 1
+    assert differ(spark, views(SMALL), SMALL, catalog.queries()[name], sql.replace(RAW, RAW.replace("raw AS", "every AS", 1) + ", " + first)) == ""
+
+
+def test_packed_windows_have_each_text_once(spark):
+    q = catalog.queries()
+    n = q["packing_metrics"](spark, SMALL).first()
+    got = q["pack_sequences"](spark, SMALL).agg(F.count("*").alias("n"), F.sum("trainable").alias("t")).first()
+    first = q["exact_dedup"](spark, SMALL).join(q["token_offsets"](spark, SMALL), "source_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).first()
+    assert (got.n, got.t) == (n.n_sequences, n.trainable_tokens) and first.t == n.total_tokens
+    assert first.n == q["exact_dedup_stats"](spark, SMALL).first().n_unique == q["token_offsets"](spark, SMALL).count()
+
+
+def test_first_rows_are_first_occurrences(spark):
+    rows = [("d", 1, "same", None), ("b", 1, "same", "y"), ("a", 2, "same", "z"), ("c", 0, "other", "w")]
+    docs = spark.createDataFrame(rows, "source_id string, pos long, text string, domain string")
+    kept = {tuple(r) for r in dedup.first_rows(docs, "source_id", "domain", "text").collect()}
+    assert kept == {("b", "y", "same"), ("c", "w", "other")}
+    assert {r.source_id for r in dedup.first_occurrences(docs).collect()} == {x[0] for x in kept}
+    nameless = docs.where("source_id IN ('d', 'a')")  # a null in the first row is kept, not passed over
+    assert dedup.first_rows(nameless, "domain").first().domain is None
+
+
 def test_every_query_has_a_name_and_sql_has_its_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 
