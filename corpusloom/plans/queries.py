@@ -486,6 +486,7 @@ def content_fingerprint(s, d):
 
 
 def pretoken_counts(s, d):
+    """Words in lower case. These aren't byte-level pre-tokens: no vocabulary can be trained from them, and none is."""
     return raw(s, d).select(F.explode(X.words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
