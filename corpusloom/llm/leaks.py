@@ -46,7 +46,8 @@ class Plan:
 
 def plan_for(length: int, max_edits: int, recall: float) -> Plan:
     """The class of a run's length. Two windows that differ by k edits differ, in expectation, in at most 4k places of the 3w that
-    the walk visits, so that a sample of m places agrees with probability (1 - 4k/3w)^m at least, and repetitions follow from it."""
+    the walk visits, so that a sample of m places agrees with probability (1 - 4k/3w)^m at least, and repetitions follow from it, 64 at most: where more
+    would be needed, recall is below the target."""
     least = length if length == RUN else next(x for x in (24, 12, 6, 1) if length >= x)
     width = max(1, (least - max_edits) // 2) if least > 1 else 1
     sampled = SAMPLED_EDITS if max_edits else SAMPLED
