@@ -375,7 +375,8 @@ def skew_improvement(s, d):
 
 
 def task_recovery_summary(s, d):
-    """Of each partition: attempts when the first attempt of partition 0 is lost, and what a second pass has to do again (nothing)."""
+    """Of each partition: attempts when the first attempt of partition 0 is lost, and what a second pass has to do again (nothing). These
+    are computed expectations; no attempt is made to fail."""
     rows = partitioning.salted(_expanded(s, d)).groupBy("salted_part").agg(F.count("*").alias("n"))
     return rows.agg(F.count("*").alias("completed"), F.sum(F.when(F.col("salted_part") == 0, 2).otherwise(1)).alias("attempts"), F.count_if(F.col("salted_part") == 0).alias("retries"), F.count("*").alias("reused"))
 
@@ -403,7 +404,8 @@ def batch_schedule(s, d):
 
 
 def resume_equivalence(s, d):
-    """The schedule up to a cursor and from it on, against the whole: rows that differ."""
+    """The schedule up to a cursor and from it on, against the whole: rows that differ. Both parts come from one written table, so 0 is
+    expected by construction."""
     whole = one(s, batch_schedule(s, d))
     cursor = (F.col("epoch") > 1) | ((F.col("epoch") == 1) & (F.col("step") >= 2))
     parts = whole.where(~cursor).unionAll(whole.where(cursor))
