@@ -137,7 +137,7 @@ def look_alike_members(*tables: DataFrame) -> DataFrame:
 
     The folded texts are grouped under accent-sensitive Unicode collation; the canonical member is the one with the smallest
     source_id. Comparing whole texts by collation is slow, so records are put in buckets by a hash of the folded text first,
-    and buckets whose stored texts are all the same, which can hold no pair, go no further. A class of any size is aggregated
+    and buckets whose stored texts are all the same, which can hold no pair, go no further; so the fold decides, not the collation. A class of any size is aggregated
     before it is shuffled and joined back with one row on its side, so that Spark can split it.
     """
     spark = tables[0].sparkSession
@@ -164,5 +164,5 @@ def look_alike_pairs(*tables: DataFrame) -> DataFrame:
 
 
 def consistent_texts(df: DataFrame) -> DataFrame:
-    """Every row's source_id with the one consistent form of its text."""
+    """Every row's source_id with the one consistent form of its text: the folded text itself, not that of a canonical member."""
     return df.select(F.col("source_id").cast("string").alias("source_id"), fold_column(F.col("text").cast("string")).alias("text"))
