@@ -58,6 +58,20 @@ def shortages(docs: DataFrame, quota: DataFrame) -> DataFrame:
     return both.withColumn("missing", F.greatest(F.col("quota") - F.col("available"), F.lit(0).cast("long")))
 
 
+def split(ranked: DataFrame, fraction: float) -> DataFrame:
+    """(source_id, part) of (source_id, h): the lowest max(1, min(n - 1, round(n * fraction))) by h, source_id are for validation, of
+    a single record that one. Ranks come from counts of 4,096 hash buckets and ranks within them, so that no window holds all rows."""
+    keyed = ranked.select("source_id", "h", F.substring("h", 1, 3).alias("bucket"))
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("c"))
+    every = Window.partitionBy(F.lit(1))
+    n = F.sum("c").over(every)
+    wanted = F.greatest(F.lit(1), F.least(n - 1, F.bround(n * F.lit(fraction)).cast("long")))
+    base = sizes.select("bucket", (F.sum("c").over(every.orderBy("bucket")) - F.col("c")).alias("base"), wanted.alias("wanted"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("h", "source_id"))
+    placed = keyed.withColumn("r", rank).join(F.broadcast(base), "bucket")
+    return placed.select("source_id", F.when(F.col("base") + F.col("r") <= F.col("wanted"), "validation").otherwise("train").alias("part"))
+
+
 def policy_difference(decisions: DataFrame, contaminated: DataFrame) -> DataFrame:
     """(source_id, baseline_policy, candidate_policy, reasons): the baseline takes all records, the candidate the accepted ones that aren't contaminated."""
     c = contaminated.select("source_id").distinct().withColumn("leaks", F.lit(True))

@@ -230,10 +230,8 @@ def mix_actual_weights(s, d):
 
 
 def hash_split(s, d):
-    """A tenth for validation, one record at least on either side: the split point is a value of the hash, so that no rank over all rows is needed."""
-    h = X.seeded_rank(SEED, "source_id")
-    ids = raw(s, d).select("source_id").withColumn("part", F.when(F.conv(F.substring(h, 1, 8), 16, 10).cast("long") < int(2**32 / 10), "validation").otherwise("train"))
-    return ids
+    """A tenth for validation by hash rank, one record at least on either side where there are two."""
+    return governance.split(one(s, raw(s, d).select("source_id", X.seeded_rank(SEED, "source_id").alias("h"))), 0.1)
 
 
 # packing

@@ -173,3 +173,17 @@ def test_shortage_accounts_for_the_mix(spark):
     assert differ(spark, views(SMALL), SMALL, q["mix_shortage"], catalog.oracle_sql()["mix_shortage"]) == ""
     rows = q["mix_shortage"](spark, SMALL).collect()
     assert sum(r.quota - r.missing for r in rows) == q["mix_select"](spark, SMALL).count()
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 4, 25, 300])
+def test_split_has_its_size(spark, n):
+    ids = [str(i) for i in range(n)]
+    h = {i: hashlib.sha256(f"42:{i}".encode()).hexdigest() for i in ids}
+    rows = spark.createDataFrame([(i, h[i]) for i in ids], "source_id string, h string")
+    got = {r.source_id for r in governance.split(rows, 0.1).where("part = 'validation'").collect()}
+    assert got == set(sorted(ids, key=h.get)[: max(1, min(n - 1, round(n * 0.1)))])
+
+
+def test_split_of_the_table(spark):
+    parts = [r.part for r in catalog.queries()["hash_split"](spark, SMALL).collect()]
+    assert parts.count("validation") == round(len(parts) * 0.1)
