@@ -74,8 +74,8 @@ def fill(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS, la
     room: list[int] = []
     order = np.argsort(-lengths, kind="stable")
     large = order[lengths[order] > capacity // large_part]
-    if len(large) > 2 * groups:
-        parts = np.array_split(large, groups)
+    if len(large):
+        parts = np.array_split(large, min(groups, len(large)))
         stacks = [list(p[::-1]) for p in parts]
         sizes = np.array([lengths[p[0]] for p in parts])
         merged: dict[int, list] = {}
@@ -109,25 +109,38 @@ def fill(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS, la
     return place
 
 
-PLACED = "source_id string, piece int, n_chars int, sequence_id long, unused int"
+SHARE = "source_id string, n long, first long, n_full long, sequence_id long, unused int"
 
 
 def pack(df: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """One row for every record, or piece of a record longer than a container: its container and that container's unused room.
 
-    Items are dealt by a hash of their ids into shards of about ``shard_items`` items, as many as the table needs, and each
+    Items are dealt by a hash of their ids into shards of about ``shard_items`` records, as many as the table needs, and each
     shard is packed whole by one task from ids and lengths alone. A shard wastes at most a container or so beyond the best, a
-    share that stays the same at any size. Full pieces are containers of their own.
+    share that stays the same at any size. Full pieces are containers of their own; they are numbered by arithmetic and made after
+    the packing, so that one giant text is one row in its shard.
     """
-    sized = df.where("source_id IS NOT NULL").select(F.col("source_id").cast("string").alias("source_id"), F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).alias("n")).groupBy("source_id").agg(F.max("n").alias("n"))
+    sized = df.where("source_id IS NOT NULL").select(F.col("source_id").cast("string").alias("source_id"), F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n")).groupBy("source_id").agg(F.max("n").alias("n"))
     shards = max(1, -(-df.count() // shard_items))
-    cut = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / capacity).cast("int") - 1)))).select("source_id", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("n_chars"), F.pmod(F.xxhash64("source_id"), F.lit(shards)).alias("shard"))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["source_id", "piece"], ignore_index=True)
-        lengths = pdf["n_chars"].to_numpy()
-        place = fill(lengths, capacity)
-        used = np.bincount(place, weights=lengths).astype(np.int64)
-        return pd.DataFrame({"source_id": pdf["source_id"], "piece": pdf["piece"], "n_chars": pdf["n_chars"], "sequence_id": (int(key[0]) << 32) + place, "unused": (capacity - used[place]).astype(np.int32)})
-
-    return cut.groupBy("shard").applyInPandas(one, PLACED)
+        pdf = pdf.sort_values("source_id", ignore_index=True)
+        n = pdf["n"].to_numpy()
+        full = np.maximum(0, -(-n // capacity) - 1)
+        rest = n - full * capacity
+        place = fill(rest, capacity)
+        used = np.bincount(place, weights=rest).astype(np.int64)
+        base = int(key[0]) << 40
+        first = base + int(place.max()) + 1 + np.cumsum(full) - full
+        return pd.DataFrame({"source_id": pdf["source_id"], "n": n, "first": first, "n_full": full, "sequence_id": base + place, "unused": (capacity - used[place]).astype(np.int32)})
+
+    placed = sized.withColumn("shard", F.pmod(F.xxhash64("source_id"), F.lit(shards))).groupBy("shard").applyInPandas(one, SHARE)
+    piece = placed.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_full"))))
+    last = F.col("piece") == F.col("n_full")
+    return piece.select(
+        "source_id",
+        F.col("piece").cast("int").alias("piece"),
+        F.when(last, F.col("n") - F.col("n_full") * capacity).otherwise(capacity).cast("int").alias("n_chars"),
+        F.when(last, F.col("sequence_id")).otherwise(F.col("first") + F.col("piece")).alias("sequence_id"),
+        F.when(last, F.col("unused")).otherwise(0).cast("int").alias("unused"),
+    )

@@ -2,7 +2,7 @@
 
 Every record becomes a multiset of fields: a list of named fields one element per name and value, any other text a single
 element. Elements are hashed with their letters and digits only, hashes are added up, which no order changes, records are
-grouped by the sums, and the fields of each record are then held against those of the kept one by counting, not by sorting.
+grouped by the sums, and the fields themselves of each record are then held against those of the kept one by counting, not by sorting.
 
 Defined results: a null or empty text, or one without a letter or digit, is no copy of anything; rows of one source_id
 are one record; equal fields of one record count as often as they stand; other columns are ignored; an empty table gives no rows.
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import pandas as pd
@@ -71,53 +71,73 @@ def fields(text: str, within: str = "") -> list[tuple[str, str]] | None:
     return out or None
 
 
-def elements(text: str | None) -> list[bytes]:
-    """A digest of 16 bytes for each field, or for the whole of any other text; none where there is no letter or digit."""
+def forms(text: str | None) -> list[str]:
+    """The normalised form of each field, or of the whole of any other text; none where there is no letter or digit."""
     if not text or not (whole := letters(text)):
         return []
     named = fields(fold(text))
-    return [blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in ([f"f\1{n}\1{v}" for n, v in named] if named else [f"t\1{whole}"])]
+    return [f"f\1{n}\1{v}" for n, v in named] if named else [f"t\1{whole}"]
+
+
+def digest(form: str) -> bytes:
+    """16 bytes for one field."""
+    return blake2b(form.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def _signed(total: int) -> int:
     return (total + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
-RECORD = "source_id string, sum_a long, sum_b long, digests array<binary>"
+RECORD = "source_id string, sum_a long, sum_b long, forms array<string>"
+
+
+def fingerprints(df: DataFrame, hashed: Callable[[str], bytes] = digest) -> DataFrame:
+    """(source_id, sum_a, sum_b, forms) of every record with a letter or digit: sums of the fields' hashes, which no order changes."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for source_id, text in zip(pdf["source_id"], pdf["text"], strict=True):
+                if own := forms(text):
+                    digests = [hashed(x) for x in own]
+                    a = _signed(sum(int.from_bytes(x[:8], "big") for x in digests))
+                    b = _signed(sum(int.from_bytes(x[8:], "big") for x in digests))
+                    rows.append((source_id, a, b, own))
+            yield pd.DataFrame(rows, columns=["source_id", "sum_a", "sum_b", "forms"])
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for source_id, text in zip(pdf["source_id"], pdf["text"], strict=True):
-            if found := elements(text):
-                a = _signed(sum(int.from_bytes(x[:8], "big") for x in found))
-                b = _signed(sum(int.from_bytes(x[8:], "big") for x in found))
-                rows.append((source_id, a, b, found))
-        yield pd.DataFrame(rows, columns=["source_id", "sum_a", "sum_b", "digests"])
+    return records(df).mapInPandas(run, RECORD)
 
 
-def _equal_fields(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([len(a) == len(b) and (len(a) == 1 and a[0] == b[0] or Counter(map(bytes, a)) == Counter(map(bytes, b))) for a, b in zip(left, right, strict=True)], dtype=bool)
+def _same_fields(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([Counter(a) == Counter(b) for a, b in zip(left, right, strict=True)], dtype=bool)
 
 
-def copies(df: DataFrame) -> DataFrame:
+def copies(df: DataFrame, hashed: Callable[[str], bytes] = digest) -> DataFrame:
     """(kept_source_id, copy_source_id): for each set of copies every record but the one with the smallest source_id.
 
-    Only ids, two sums and digests are shuffled, never texts. A set that holds a third of all rows is aggregated before the
-    shuffle, and its join against the one kept record is split by Spark where skewed. Records whose sums agree but whose fields
-    differ go through the same steps again among themselves, until none is left.
+    Records are grouped by their two sums, from ids and sums alone; only records of a group of several have their normalised fields
+    fetched and held, text against text, against those of the kept record: a single field by comparison, several by counting each, never
+    by sorting. A set that holds a third of all rows is aggregated before the shuffle, and its join against the one kept record is split
+    by Spark where skewed. Records whose sums agree but whose fields differ go through the same steps again among themselves, until
+    none is left, whatever the hash.
     """
     stages = Stages(df.sparkSession)
-    rest = stages.write(records(df).mapInPandas(_fingerprints, RECORD))
-    same, out = F.pandas_udf(_equal_fields, T.BooleanType()), None
+    rest = stages.write(fingerprints(df, hashed))
+    same, out = F.pandas_udf(_same_fields, T.BooleanType()), None
     while True:
-        kept = rest.groupBy("sum_a", "sum_b").agg(F.min("source_id").alias("kept_source_id"), F.max("source_id").alias("last"), F.min_by("digests", "source_id").alias("kept_digests")).where("kept_source_id <> last")
-        joined = rest.join(kept, ["sum_a", "sum_b"]).where("source_id <> kept_source_id")
-        checked = stages.write(joined.withColumn("equal", same("digests", "kept_digests")).drop("kept_digests", "last"))
+        several = rest.groupBy("sum_a", "sum_b").agg(F.min("source_id").alias("kept_source_id"), F.max("source_id").alias("last")).where("kept_source_id <> last").drop("last")
+        members = rest.join(several, ["sum_a", "sum_b"])
+        kept = members.where("source_id = kept_source_id").groupBy("sum_a", "sum_b", "kept_source_id").agg(F.first("forms").alias("kept_forms"))
+        held = members.where("source_id <> kept_source_id").drop("kept_source_id").join(kept, ["sum_a", "sum_b"])
+        one = (F.size("forms") == 1) & (F.size("kept_forms") == 1)
+        single = held.where(one).withColumn("equal", F.col("forms")[0] == F.col("kept_forms")[0])
+        many = held.where(~one & (F.size("forms") == F.size("kept_forms"))).withColumn("equal", same("forms", "kept_forms"))
+        unlike = held.where(F.size("forms") != F.size("kept_forms")).withColumn("equal", F.lit(False))
+        wrong = "IF(equal, NULL, forms) AS forms"  # the fields of proven copies aren't needed any more
+        checked = stages.write(single.unionByName(many).unionByName(unlike).selectExpr("source_id", "sum_a", "sum_b", "kept_source_id", "equal", wrong))
         found = checked.where("equal").select("kept_source_id", F.col("source_id").alias("copy_source_id")).distinct()
         out = found if out is None else out.union(found)
-        rest = checked.where("NOT equal").select("source_id", "sum_a", "sum_b", "digests")
+        rest = checked.where("NOT equal").select("source_id", "sum_a", "sum_b", "forms")
         if rest.isEmpty():
             return out
 

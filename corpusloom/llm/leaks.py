@@ -5,11 +5,13 @@ Goldenberg, Koucky 2016), positions of the embeddings are sampled in as many rep
 that agree in one repetition are candidates. Each candidate is then verified exactly by edit distance on the texts.
 
 A leak is a run of ``run`` consecutive letters and digits of an item (all of a shorter item's) that the record holds with at
-most ``max_edits`` edits. Windows are half as long as the run and stand, in the corpus, so far apart that any run holds one
-whole, and in the items at every place. Items are put in classes by the length of their run, each with windows of its size.
+most ``max_edits`` edits, or proportionally fewer in a shorter run. Windows follow the size of the item's run: they are about half as
+long, and stand, in the corpus, so far apart that any run holds one whole, and in the items at every place. Windows of the whole run
+would have to stand at every place of the corpus, which costs some twenty times as much. Items are put in classes by the length of
+their run, each with windows of its size.
 
 Defined results: items or records without a letter or digit, null or empty ones among them, give no row; rows of one source_id
-are one; other columns are ignored; an empty table on either side gives no rows.
+are one item or record that has every text of its rows; other columns are ignored; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -24,13 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.lookalike import letters, records
-from corpusloom.session import Stages
+from corpusloom.session import Stages, spread
 
 RUN = 40
-#: Items whose signatures are more than this go through a shuffled join instead of a broadcast.
-BROADCAST_SIGNATURES = 2_000_000
-#: Sampled places of a walk: fewer where edits are allowed, so that a sample misses them more often.
-SAMPLED, SAMPLED_EDITS = 12, 8
+RECALL = 0.95
+#: Signatures of items that are looked up at once: what is sent to every executor. More items are searched in several passes.
+BLOCK_SIGNATURES = 2_000_000
+#: Letters of an item that are one segment; longer items are several, which overlap by a run.
+SEGMENT = 20_000
+#: Sampled places of a walk, of which a third or so lie behind the window: with fewer, chance agreements outnumber leaks by far.
+SAMPLED, SAMPLED_EDITS = 12, 14
+#: Shortest runs of the classes below ``run``; a run with edits is in a class of its own edits.
+CLASSES = (20, 12, 6, 1)
+MOST_REPEATS = 1000
 
 
 @dataclass(frozen=True)
@@ -42,18 +50,28 @@ class Plan:
     stride: int
     repeats: int
     sampled: int
+    edits: int
 
 
-def plan_for(length: int, max_edits: int, recall: float) -> Plan:
+def edits_for(length: int, run: int, max_edits: int) -> int:
+    """The edits that a run of that length may have: in proportion to the whole run's."""
+    return max_edits * min(length, run) // run
+
+
+def plan_for(length: int, max_edits: int = 0, recall: float = RECALL, run: int = RUN) -> Plan:
     """The class of a run's length. Two windows that differ by k edits differ, in expectation, in at most 4k places of the 3w that
-    the walk visits, so that a sample of m places agrees with probability (1 - 4k/3w)^m at least, and repetitions follow from it, 64 at most: where more
-    would be needed, recall is below the target."""
-    least = length if length == RUN else next(x for x in (24, 12, 6, 1) if length >= x)
-    width = max(1, (least - max_edits) // 2) if least > 1 else 1
-    sampled = SAMPLED_EDITS if max_edits else SAMPLED
-    alike = max(0.05, 1 - 4 * max_edits / (3 * width)) ** min(sampled, 3 * width)
-    repeats = 1 if max_edits == 0 else min(64, math.ceil(math.log(1 - recall) / math.log(1 - alike)))
-    return Plan(least, width, max(1, least - width - max_edits + 1), repeats, sampled)
+    the walk visits, so that a sample of m places agrees with probability (1 - 4k/3w)^m at least, and repetitions follow from it.
+    Where that takes more than MOST_REPEATS, the parameters are refused, not the recall lowered."""
+    edits = edits_for(length, run, max_edits)
+    floor = 1 if not edits else next(n for n in range(1, run + 1) if edits_for(n, run, max_edits) == edits)
+    least = run if length >= run else max(floor, next(x for x in CLASSES if length >= x))
+    width = max(1, (least - edits) // 2)
+    sampled = SAMPLED_EDITS if edits else SAMPLED
+    alike = max(0.0, 1 - 4 * edits / (3 * width)) ** min(sampled, 3 * width)
+    repeats = 1 if not edits else math.ceil(math.log(1 - recall) / math.log(1 - alike)) if 0 < alike < 1 else MOST_REPEATS + 1
+    if repeats > MOST_REPEATS:
+        raise ValueError(f"runs of {least} letters with {edits} edits take more than {MOST_REPEATS} repetitions for a recall of {recall}")
+    return Plan(least, width, max(1, least - width - edits + 1), repeats, sampled, edits)
 
 
 def _words(codes: np.ndarray, seed: int) -> np.ndarray:
@@ -107,136 +125,148 @@ def longest_run(item: str, text: str, i: int, j: int, width: int) -> int:
 
 
 def least_edits(part: str, text: str, most: int) -> int:
-    """The smallest edit distance between the part and any substring of the text; most + 1 where it is larger."""
-    row = np.zeros(len(text) + 1, dtype=np.int64)
-    codes, ramp = _codes(text), np.arange(len(text) + 1)
-    for k, c in enumerate(_codes(part)):
-        new = np.concatenate(([k + 1], np.minimum(row[1:] + 1, row[:-1] + (codes != c))))
-        row = np.minimum.accumulate(new - ramp) + ramp
-        if row.min() > most:
-            return most + 1
-    return int(row.min())
-
-
-def verified(item: str, text: str, i: int, j: int, plan: Plan, run: int, max_edits: int) -> int | None:
+    """The smallest edit distance between the part and any substring of the text; most + 1 where it is larger. The columns of the
+    distance table are bit vectors (Myers 1999), of any length here."""
+    if not part:
+        return 0
+    held: dict[str, int] = {}
+    for k, c in enumerate(part):
+        held[c] = held.get(c, 0) | 1 << k
+    full, top = (1 << len(part)) - 1, 1 << len(part) - 1
+    up, down, now = full, 0, len(part)
+    best = now
+    for c in text:
+        same = held.get(c, 0)
+        zero = ((same & up) + up ^ up) | same | down
+        grow = down | ~(zero | up) & full
+        fall = up & zero
+        now += (grow & top > 0) - (fall & top > 0)
+        grow, fall = grow << 1, fall << 1
+        up = (fall | ~(zero | grow)) & full
+        down = grow & zero & full
+        if now < best:
+            best = now
+    return min(best, most + 1)
+
+
+def verified(item: str, text: str, i: int, j: int, plan: Plan, run: int) -> int | None:
     """The edits of the leak around a candidate's windows, or None where there is none."""
     need = min(run, len(item))
     if longest_run(item, text, i, j, plan.width) >= need:
         return 0
-    if not max_edits:
+    most = plan.edits
+    if not most:
         return None
-    around = text[max(0, j - max_edits) : j + plan.width + max_edits]
-    if least_edits(item[i : i + plan.width], around, max_edits) > max_edits:
+    around = text[max(0, j - most) : j + plan.width + most]
+    if least_edits(item[i : i + plan.width], around, most) > most:
         return None
     best = None
     for a in range(max(0, i + plan.width - need), min(i, len(item) - need) + 1):
-        lo = max(0, j - (i - a) - max_edits)
-        edits = least_edits(item[a : a + need], text[lo : j + need + max_edits], max_edits)
-        if edits <= max_edits and (best is None or edits < best):
+        lo = max(0, j - (i - a) - most)
+        edits = least_edits(item[a : a + need], text[lo : j + need + most], most)
+        if edits <= most and (best is None or edits < best):
             best = edits
-            if best == 0:
-                break
+            most = max(0, edits - 1)
     return best
 
 
-ITEM = "eval_source_id string, least int, signature long, at int"
 LEAK = "eval_source_id string, source_id string, edits int"
 
 
-def _item_rows(pairs: list[tuple[str, str]], run: int, max_edits: int, recall: float) -> list[tuple]:
-    out = []
-    for source_id, item in pairs:
-        if item:
-            plan = plan_for(min(run, len(item)), max_edits, recall)
-            codes, starts = _codes(item), _starts(len(item), plan, 1)
-            for repeat in range(plan.repeats):
-                out += [(source_id, plan.least, int(s), int(a)) for s, a in zip(signatures(codes, starts, plan, repeat), starts, strict=True)]
-    return out
+def _segments(item: str, run: int) -> Iterator[str]:
+    """The item, or pieces of a long one that hold each of its runs whole."""
+    for at in range(0, max(1, len(item) - run + 1), SEGMENT - run + 1):
+        yield item[at : at + SEGMENT]
 
 
-def _best(found: dict, key: tuple, edits: int | None) -> None:
-    if edits is not None and edits < found.get(key, 1 << 30):
-        found[key] = edits
+def item_segments(evaluation: DataFrame, run: int, max_edits: int, recall: float) -> DataFrame:
+    """(eval_source_id, segment, least): the items' letters and digits, cut into segments, with the class of their run."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for source_id, text in zip(pdf["source_id"], pdf["text"], strict=True):
+                if own := letters(text):
+                    least = plan_for(min(run, len(own)), max_edits, recall, run).least
+                    out += [(source_id, x, least) for x in _segments(own, run)]
+            yield pd.DataFrame(out, columns=["eval_source_id", "segment", "least"])
 
+    return records(evaluation).mapInPandas(rows, "eval_source_id string, segment string, least int").distinct()
 
-def leaks(corpus: DataFrame, evaluation: DataFrame, run: int = RUN, max_edits: int = 0, recall: float = 0.95, broadcast_signatures: int = BROADCAST_SIGNATURES) -> DataFrame:
-    """(eval_source_id, source_id, edits): every item and record such that the record holds a run of the item.
 
-    The items' signatures are counted; up to ``broadcast_signatures`` they are sent to the executors, and records are embedded,
-    looked up and verified in one pass without a shuffle. Beyond, signatures of both sides are joined by a shuffle, and
-    candidates are joined with their texts.
-    """
-    spark = corpus.sparkSession
-    stages = Stages(spark)
+def item_signatures(segments: DataFrame, plans: dict[int, Plan]) -> DataFrame:
+    """(segment_id, signature, at) of every window of every segment, in every repetition."""
 
-    def item_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame(_item_rows([(s, letters(t)) for s, t in zip(pdf["source_id"], pdf["text"], strict=True)], run, max_edits, recall), columns=["eval_source_id", "least", "signature", "at"])
+            for least, own in pdf.groupby("least"):
+                plan, texts = plans[least], list(own["segment"])
+                starts = [_starts(len(x), plan, 1) for x in texts]
+                begins = np.cumsum([0, *map(len, texts)])[:-1]
+                flat = np.concatenate([s + o for s, o in zip(starts, begins, strict=True)])
+                ids = np.repeat(own["segment_id"].to_numpy(), [len(s) for s in starts])
+                at, codes = np.concatenate(starts).astype(np.int32), _codes("".join(texts))
+                for repeat in range(plan.repeats):
+                    yield pd.DataFrame({"segment_id": ids, "signature": signatures(codes, flat, plan, repeat), "at": at})
 
-    known = records(evaluation).groupBy("source_id").agg(F.max("text").alias("text"))
-    items = stages.write(known.mapInPandas(item_rows, ITEM))
-    classes = sorted((r["least"] for r in items.select("least").distinct().collect()), reverse=True)  # five at most
-    plans = {c: plan_for(c, max_edits, recall) for c in classes}
-    if items.limit(broadcast_signatures + 1).count() <= broadcast_signatures:
-        return _in_one_pass(records(corpus), known, items, plans, run, max_edits)
-    return _joined(records(corpus).groupBy("source_id").agg(F.max("text").alias("text")), known, items, plans, run, max_edits)
+    return segments.select("segment_id", "segment", "least").mapInPandas(rows, "segment_id long, signature long, at int")
 
 
-def _in_one_pass(texts: DataFrame, known: DataFrame, items: DataFrame, plans: dict[int, Plan], run: int, max_edits: int) -> DataFrame:
-    pdf = items.toPandas()  # bounded by the caller's check
-    ids, of = pd.factorize(pdf["eval_source_id"])
-    of = list(of)
-    item_texts = {r["source_id"]: letters(r["text"]) for r in known.collect()}
-    order = np.argsort(pdf["signature"].to_numpy(), kind="stable")
-    sent = texts.sparkSession.sparkContext.broadcast((of, [item_texts[x] for x in of], pdf["signature"].to_numpy()[order], ids[order], pdf["at"].to_numpy()[order]))
+def leaks(corpus: DataFrame, evaluation: DataFrame, run: int = RUN, max_edits: int = 0, recall: float = RECALL, block_signatures: int = BLOCK_SIGNATURES) -> DataFrame:
+    """(eval_source_id, source_id, edits): every item and record such that the record holds a run of the item, with the fewest edits found.
+
+    Items' signatures are sent to the executors in blocks of bounded size, for each of which records are embedded, looked up and
+    verified in one pass without a shuffle: every block goes the same way and every text of every row is read whole. A held-out
+    set is small beside its corpus; one of more than a block costs a pass for each further block.
+    """
+    stages = Stages(corpus.sparkSession)
+    lengths = range(1, run + 1) if max_edits else (*CLASSES, run)
+    plans = {p.least: p for p in (plan_for(n, max_edits, recall, run) for n in lengths)}
+    segments = stages.write(item_segments(evaluation, run, max_edits, recall).withColumn("segment_id", F.xxhash64("eval_source_id", "segment")))
+    items = stages.write(item_signatures(segments, plans))
+    blocks = max(1, -(-items.count() // block_signatures))
+    texts, out = spread(records(corpus)), None
+    for block in range(blocks):  # segments are dealt by hash, with all their signatures
+        mine = F.pmod(F.col("segment_id"), F.lit(blocks)) == block
+        found = _in_one_pass(texts, segments.where(mine), items.where(mine), plans, run)
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("eval_source_id", "source_id").agg(F.min("edits").alias("edits"))
+
+
+def _in_one_pass(texts: DataFrame, segments: DataFrame, items: DataFrame, plans: dict[int, Plan], run: int) -> DataFrame:
+    pdf = items.toPandas().sort_values("signature", kind="stable")  # a block at most
+    known = segments.toPandas().sort_values("segment_id")
+    who = np.searchsorted(known["segment_id"].to_numpy(), pdf["segment_id"].to_numpy())
+    used = [plans[x] for x in sorted(known["least"].unique())]
+    sent = texts.sparkSession.sparkContext.broadcast((list(known["eval_source_id"]), list(known["segment"]), pdf["signature"].to_numpy(), who.astype(np.int32), pdf["at"].to_numpy()))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, known, keys, who, where = sent.value
+        names, segments, keys, who, where = sent.value
         for pdf in batches:
-            found: dict = {}
+            found: dict[tuple[int, int], int] = {}
             own = [letters(t) for t in pdf["text"]]
-            for plan in plans.values():
+            offsets = np.cumsum([0, *map(len, own)])
+            codes = _codes("".join(own))
+            for plan in used:
                 starts = [_starts(len(t), plan, plan.stride) for t in own]
-                offsets = np.cumsum([0, *map(len, own)])
                 flat = np.concatenate([s + o for s, o in zip(starts, offsets, strict=False)] or [np.zeros(0, np.int64)])
                 if not len(flat):
                     continue
-                row = np.repeat(np.arange(len(own)), [len(s) for s in starts])
-                codes = _codes("".join(own))
+                row, tried = np.repeat(np.arange(len(own)), [len(s) for s in starts]), set()
                 for repeat in range(plan.repeats):
                     sign = signatures(codes, flat, plan, repeat)
                     lo, hi = np.searchsorted(keys, sign, "left"), np.searchsorted(keys, sign, "right")
                     for h in np.flatnonzero(hi > lo):
                         r = int(row[h])
+                        j = int(flat[h] - offsets[r])
                         for k in range(lo[h], hi[h]):
-                            key = (int(who[k]), r)
-                            if found.get(key) != 0:
-                                _best(found, key, verified(known[key[0]], own[r], int(where[k]), int(flat[h] - offsets[r]), plan, run, max_edits))
+                            item, i = int(who[k]), int(where[k])
+                            if found.get((item, r)) == 0 or (item, r, i, j) in tried:
+                                continue
+                            tried.add((item, r, i, j))
+                            edits = verified(segments[item], own[r], i, j, plan, run)
+                            if edits is not None and edits < found.get((item, r), 1 << 30):
+                                found[item, r] = edits
             yield pd.DataFrame([(names[a], pdf["source_id"].iloc[r], e) for (a, r), e in found.items()], columns=["eval_source_id", "source_id", "edits"])
 
-    return texts.mapInPandas(scan, LEAK).groupBy("eval_source_id", "source_id").agg(F.min("edits").alias("edits"))
-
-
-def _joined(texts: DataFrame, known: DataFrame, items: DataFrame, plans: dict[int, Plan], run: int, max_edits: int) -> DataFrame:
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for source_id, text in zip(pdf["source_id"], pdf["text"], strict=True):
-                if own := letters(text):
-                    for plan in plans.values():
-                        starts = _starts(len(own), plan, plan.stride)
-                        for repeat in range(plan.repeats if len(starts) else 0):
-                            yield pd.DataFrame({"source_id": source_id, "least": np.int32(plan.least), "signature": signatures(_codes(own), starts, plan, repeat), "text_at": starts.astype(np.int32)})
-
-    hits = texts.mapInPandas(windows, "source_id string, least int, signature long, text_at int").join(items, ["least", "signature"]).select("eval_source_id", "source_id", "least", F.col("at").alias("item_at"), "text_at").distinct()
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                edits = verified(letters(r.item), letters(r.text), r.item_at, r.text_at, plans[r.least], run, max_edits)
-                if edits is not None:
-                    rows.append((r.eval_source_id, r.source_id, edits))
-            yield pd.DataFrame(rows, columns=["eval_source_id", "source_id", "edits"])
-
-    with_items = hits.join(known.select(F.col("source_id").alias("eval_source_id"), F.col("text").alias("item")), "eval_source_id")
-    return with_items.join(texts, "source_id").select("eval_source_id", "item", "source_id", "least", "item_at", "text_at", "text").mapInPandas(check, LEAK).groupBy("eval_source_id", "source_id").agg(F.min("edits").alias("edits"))
+    return texts.mapInPandas(scan, LEAK)

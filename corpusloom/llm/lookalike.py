@@ -1,11 +1,12 @@
 """Texts that look the same but are stored with other characters (problem 1).
 
-``fold`` brings a text to the form in which identical-looking texts are equal; ``look_alike_classes``
-groups the folded texts under Spark's accent-sensitive UNICODE collation, picks one canonical member
-per class and joins it back.
+``mapped`` replaces look-alike letters, digits, ligatures and spaces. The mapped texts are grouped under Spark's accent-sensitive
+UNICODE collation, which decides what is equal: it passes over characters that show nothing and holds accents, letter case,
+punctuation and spaces apart. One canonical member per class is chosen and joined back. ``fold`` is the same form for code that
+has no collation at hand (problems 3, 5 and 6): mapped, without what shows nothing, accents composed.
 
 Defined results: a null text folds to null and an empty one to an empty text; texts without a letter or digit
-form no class; rows of one source_id are one record (of differing texts the smallest counts); columns other
+form no class; rows of one source_id are one record that has every text of its rows; columns other
 than source_id and text are ignored; an empty table gives no rows.
 """
 
@@ -13,7 +14,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,10 +25,14 @@ from pyspark.sql import types as T
 
 from corpusloom.session import Stages
 
-#: Letters of other scripts drawn like Latin ones.
+#: Letters of other scripts drawn like Latin ones. Coptic, Cherokee, Lisu and Latin are pairs of Unicode's published confusables.
 CYRILLIC = ("АВЕЅІЈКМНОРСТУХҮԚԜаеорсухѕіјһԁԛԝӏү", "ABESIJKMHOPCTYXYQWaeopcyxsijhdqwly")
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ", "ABEZHIKMNOPTYXovcj")
 ARMENIAN = ("ԼՍՕոսօցհ", "LUOnuoqh")
+COPTIC = ("ⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬ", "HIKMNOoPpCcTYX")
+CHEROKEE = ("ᎠᎡᎢᎩᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏔᏚᏞᏟᏢᏦᏴꭵꮃꮓꮩꮪꮯ", "DRTYAJEWMHYGZRWSLCPKBiwzvsc")
+LISU = ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU")
+LATIN = ("ɑɡ", "ag")
 #: Radicals without a decomposition and the ideographs that look the same.
 RADICALS = ("⺁⺋⺌⺎⺟⺠⺮⺼⻁⻄⻅⻆⻉⻋⻓⻔⻘⻙⻚⻛⻜⻝⻢⻣⻤⻥⻦⻧⻨⻩⻬⻮⻰⻳", "厂㔾小兀母民竹月虎西见角贝车长门青韦页风飞食马骨鬼鱼鸟卤麦黄齐齿龙龟")
 #: Blocks whose compatibility forms are ligatures, digraphs, Roman numerals or radicals.
@@ -63,7 +70,7 @@ def mapping() -> dict[str, str]:
         for cp in range(a, b):
             if (to := _target(cp)) is not None:
                 out[chr(cp)] = to
-    for left, right in (CYRILLIC, GREEK, ARMENIAN, RADICALS):
+    for left, right in (CYRILLIC, GREEK, ARMENIAN, COPTIC, CHEROKEE, LISU, LATIN, RADICALS):
         out |= dict(zip(left, right, strict=True))
     # a replacement may itself be a look-alike (a mathematical alpha, say)
     return {k: "".join(out.get(c, c) for c in v) for k, v in out.items() if k != v}
@@ -112,57 +119,126 @@ def records(df: DataFrame) -> DataFrame:
     return df.select(F.col("source_id").cast("string").alias("source_id"), F.col("text").cast("string").alias("text")).where("source_id IS NOT NULL AND text IS NOT NULL")
 
 
-MAPPED = r"""
-SELECT origin, source_id, xxhash64(text) AS stored_a, hash(text, 7) AS stored_b, xxhash64(mapped) AS bucket, mapped
-FROM {texts} WHERE mapped RLIKE '[\\p{{L}}\\p{{N}}]'
-"""
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+#: What shows nothing and yet has a weight in the collation, so that the mapping takes it out.
+FILLERS = "\u115f\u1160\u3164\uffa0"
+
+
+@lru_cache(1)
+def _replaced() -> tuple[dict[str, str], re.Pattern, re.Pattern]:
+    """What mapped() replaces (not what the collation passes over by itself), on the basic plane and beyond it."""
+    own = {k: v for k, v in mapping().items() if v or k in FILLERS}
+    group = lambda keep: re.compile("[" + "".join(re.escape(c) for c in sorted(own) if keep(c)) + "]")
+    return own, group(lambda c: c <= "\uffff"), group(lambda c: c > "\uffff")
+
+
+def mapped(text: str) -> str:
+    """The text with look-alikes mapped, accents apart."""
+    if text.isascii():
+        return text
+    table, basic, beyond = _replaced()
+    put = lambda m: table[m[0]]
+    out = basic.sub(put, unicodedata.normalize("NFD", text))
+    return beyond.sub(put, out) if max(out, default="") > "\uffff" else out
+
+
+MAPPED = "source_id string, stored binary, bucket long, marks long, mapped string"
+
+
+def _map_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for source_id, text in zip(pdf["source_id"], pdf["text"], strict=True):
+            form = mapped(text)
+            if key := _REST.sub("", form):
+                accents = "" if form.isascii() else "".join(c for c in form if unicodedata.combining(c) or c > "\u02ff" and unicodedata.category(c)[0] == "M" and mapping().get(c) != "")
+                rows.append((source_id, blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), _hash(key), _hash(accents), form))
+        yield pd.DataFrame(rows, columns=["source_id", "stored", "bucket", "marks", "mapped"])
+
+
 VARIED = """
-SELECT bucket FROM {rows} GROUP BY bucket HAVING min(struct(stored_a, stored_b)) <> max(struct(stored_a, stored_b))
+SELECT bucket FROM {rows} GROUP BY bucket HAVING min(stored) <> max(stored)
 """
-CANDIDATES = """
-SELECT DISTINCT r.origin, r.source_id, r.stored_a, r.stored_b, r.bucket, r.mapped FROM {rows} r JOIN {varied} v ON r.bucket = v.bucket
+#: One row for each stored text of a bucket, with its first record: copies cost nothing from here on.
+VERSIONS = """
+SELECT r.bucket, r.stored, r.marks, r.mapped, min(struct(r.source_id, r.origin)) AS first
+FROM {rows} r JOIN {varied} v ON r.bucket = v.bucket GROUP BY r.bucket, r.stored, r.marks, r.mapped
 """
 CLASSES = """
-SELECT bucket, mapped COLLATE UNICODE AS look, min(struct(source_id, origin)) AS canonical
-FROM {rows} GROUP BY bucket, mapped COLLATE UNICODE
+SELECT bucket, marks, mapped COLLATE UNICODE AS look, min(struct(first, mapped)) AS canonical
+FROM {versions} GROUP BY bucket, marks, mapped COLLATE UNICODE HAVING count(*) > 1
+"""
+JOINED_BACK = """
+SELECT v.bucket, v.stored, c.canonical.first.source_id AS canonical_source_id, c.canonical.first.origin AS canonical_origin, c.canonical.mapped AS canonical_mapped
+FROM {versions} v JOIN {classes} c ON v.bucket = c.bucket AND v.marks = c.marks AND v.mapped COLLATE UNICODE = c.look
 """
 MEMBERS = """
-SELECT c.canonical.source_id AS canonical_source_id, c.canonical.origin AS canonical_origin, r.origin, r.source_id, r.stored_a, r.stored_b
-FROM {rows} r JOIN {classes} c ON r.bucket = c.bucket AND r.mapped COLLATE UNICODE = c.look
+SELECT DISTINCT j.canonical_source_id, j.canonical_origin, r.origin, r.source_id, r.stored
+FROM {rows} r JOIN {joined} j ON r.bucket = j.bucket AND r.stored = j.stored
+"""
+CONSISTENT = """
+SELECT r.source_id, coalesce(j.canonical_mapped, r.mapped) AS mapped
+FROM {rows} r LEFT JOIN {joined} j ON r.bucket = j.bucket AND r.stored = j.stored
 """
 
 
-def look_alike_members(*tables: DataFrame) -> DataFrame:
-    """The members of every class of records that look the same and aren't all stored the same, with the class's canonical member.
+def _classed(stages: Stages, tables: tuple[DataFrame, ...], collated: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, joined): every record's mapped text, and for every stored text of a class the canonical member.
 
-    The folded texts are grouped under accent-sensitive Unicode collation; the canonical member is the one with the smallest
-    source_id. Comparing whole texts by collation is slow, so records are put in buckets by a hash of the folded text first,
-    and buckets whose stored texts are all the same, which can hold no pair, go no further; so the fold decides, not the collation. A class of any size is aggregated
-    before it is shuffled and joined back with one row on its side, so that Spark can split it.
+    Collation is slow on whole texts, so records are first put in buckets by their letters and digits alone, a key that texts equal
+    under the collation share. (The one exception: it takes digits of all scripts for equal, which are visible differences.) Buckets
+    with one stored text go no further, and copies of one stored text are one row. The collation then decides. ``marks`` is an
+    exact check beside it, as the collation gives one weight to several marks of rare scripts.
     """
-    spark = tables[0].sparkSession
-    stages, texts = Stages(spark), None
+    spark, every = tables[0].sparkSession, None
     for i, df in enumerate(tables):
-        own = records(df).select(F.lit(i).alias("origin"), "source_id", "text", fold_column("text").alias("mapped"))
-        texts = own if texts is None else texts.unionByName(own)
-    rows = spark.sql(MAPPED, texts=texts)
-    candidates = stages.write(spark.sql(CANDIDATES, rows=rows, varied=spark.sql(VARIED, rows=rows)))
-    classes = spark.sql(CLASSES, rows=candidates)
-    return stages.write(spark.sql(MEMBERS, rows=candidates, classes=classes))
+        own = records(df).mapInPandas(_map_all, MAPPED).withColumn("origin", F.lit(i))
+        every = own if every is None else every.unionByName(own)
+    rows = stages.write(every)
+    versions = stages.write(spark.sql(VERSIONS, rows=rows, varied=spark.sql(VARIED, rows=rows)))
+    under = (lambda q: q) if collated else (lambda q: q.replace(" COLLATE UNICODE", ""))
+    classes = spark.sql(under(CLASSES), versions=versions)
+    return rows, stages.write(spark.sql(under(JOINED_BACK), versions=versions, classes=classes))
+
+
+def look_alike_members(*tables: DataFrame, collated: bool = True) -> DataFrame:
+    """The members of every class of records that look the same and aren't all stored the same, with the class's canonical member,
+    the one with the smallest source_id. A class of any size is joined back with one row for each stored text, so that Spark can
+    split it. Without ``collated`` texts are compared as they are, which shows what the collation does."""
+    stages = Stages(tables[0].sparkSession)
+    rows, joined = _classed(stages, tables, collated)
+    return stages.write(tables[0].sparkSession.sql(MEMBERS, rows=rows, joined=joined))
 
 
-def look_alike_pairs(*tables: DataFrame) -> DataFrame:
+def look_alike_pairs(*tables: DataFrame, collated: bool = True) -> DataFrame:
     """Every pair of records whose stored texts differ although they look the same, smaller source_id first.
 
-    A class of n records gives its n(n-1)/2 pairs only where the stored texts differ, which is the result that is asked for.
+    A class of n records gives its n(n-1)/2 pairs only where the stored texts differ, which is the result that is asked for;
+    look_alike_members has the same classes with one row a record.
     """
-    m = look_alike_members(*tables)
+    m = look_alike_members(*tables, collated=collated)
     left, right = m.alias("l"), m.alias("r")
     same = (F.col("l.canonical_source_id") == F.col("r.canonical_source_id")) & (F.col("l.canonical_origin") == F.col("r.canonical_origin"))
-    differ = (F.col("l.stored_a") != F.col("r.stored_a")) | (F.col("l.stored_b") != F.col("r.stored_b"))
-    return left.join(right, same & differ & (F.col("l.source_id") < F.col("r.source_id"))).select(F.col("l.source_id").alias("left_source_id"), F.col("r.source_id").alias("right_source_id")).distinct()
-
-
-def consistent_texts(df: DataFrame) -> DataFrame:
-    """Every row's source_id with the one consistent form of its text: the folded text itself, not that of a canonical member."""
-    return df.select(F.col("source_id").cast("string").alias("source_id"), fold_column(F.col("text").cast("string")).alias("text"))
+    pairs = left.join(right, same & (F.col("l.stored") != F.col("r.stored")) & (F.col("l.source_id") < F.col("r.source_id")))
+    return pairs.select(F.col("l.source_id").alias("left_source_id"), F.col("r.source_id").alias("right_source_id")).distinct()
+
+
+def consistent_texts(*tables: DataFrame) -> DataFrame:
+    """(source_id, text) of every row: the canonical member's text, joined back to its class, or the row's own, in the folded form.
+    Rows without a letter or digit, which form no class, keep their own; null stays null."""
+    stages = Stages(tables[0].sparkSession)
+    rows, joined = _classed(stages, tables)
+    classed = tables[0].sparkSession.sql(CONSISTENT, rows=rows, joined=joined).select("source_id", fold_column("mapped").alias("text"))
+    for df in tables:
+        own = df.select(F.col("source_id").cast("string").alias("source_id"), F.col("text").cast("string").alias("text"))
+        bare = own.where("source_id IS NULL OR text IS NULL").union(records(df).mapInPandas(_bare, "source_id string, text string"))
+        classed = classed.union(bare.select("source_id", fold_column("text")))
+    return classed
+
+
+def _bare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf[[not _REST.sub("", mapped(t)) for t in pdf["text"]]]

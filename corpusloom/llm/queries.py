@@ -15,8 +15,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alike_pairs(table(spark, d, "raw_documents"), table(spark, d, "lab04"))
 
 
+def p1_members(spark: SparkSession, d: str) -> DataFrame:
+    """The classes behind p1_found: one row a record, with its canonical member, instead of all pairs."""
+    return lookalike.look_alike_members(table(spark, d, "raw_documents"), table(spark, d, "lab04")).select("canonical_source_id", "source_id").distinct()
+
+
 def p1_texts(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.consistent_texts(table(spark, d, "raw_documents")).union(lookalike.consistent_texts(table(spark, d, "lab04")))
+    return lookalike.consistent_texts(table(spark, d, "raw_documents"), table(spark, d, "lab04"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,8 +40,18 @@ def p4_sequences(spark: SparkSession, d: str) -> DataFrame:
     return containers.pack(table(spark, d, "raw_documents"))
 
 
+#: Edits that a run of 40 letters may have in p5_edits, and in the search behind p5_found.
+P5_EDITS = 2
+
+
+def p5_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks with the fewest edits of each: up to two in a run of 40 letters, one from 20 letters on, none in shorter items."""
+    return leaks.leaks(table(spark, d, "lab04"), table(spark, d, "evaluation"), max_edits=P5_EDITS)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaks(table(spark, d, "lab04"), table(spark, d, "evaluation")).select("eval_source_id", "source_id")
+    """The leaks of p5_edits that have no edit: windows that are equal agree in every repetition, so that none is missed."""
+    return p5_edits(spark, d).where("edits = 0").select("eval_source_id", "source_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +84,7 @@ def p9_amounts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_texts, p2_found, p3_found, p3_counts, p4_sequences, p5_found, p6_found, p6_texts, p7_ids, p8_mixture, p8_shares, p9_found, p9_amounts)}
+    return {f.__name__: f for f in (p1_found, p1_members, p1_texts, p2_found, p3_found, p3_counts, p4_sequences, p5_found, p5_edits, p6_found, p6_texts, p7_ids, p8_mixture, p8_shares, p9_found, p9_amounts)}
 
 
 #: The smallest reachable id of every id: DuckDB walks the links from each id.

@@ -6,8 +6,10 @@ holds an anchor, the least hash among its windows of ANCHOR characters, that dep
 a span share its anchors, and the places around one anchor, in all documents that hold it, are a reference shard: an automaton is
 built of one place's text and the others are streamed through it for spans of at least ``span`` characters.
 
-Anchors in more places than COLD_PLACES aren't gathered in one task. Each place gives instead the hashes (128 bits) of all windows of
-``span`` characters around its anchor, and documents with the same window are joined by Spark. Nothing is dropped or capped.
+An anchor in more places than COLD_PLACES isn't one shard but as many as its places have windows of ``span`` characters in common: each
+place gives the hashes (128 bits) of all its windows, and the places that share one are a shard, whose first place's window makes the
+automaton. It is joined to the others, one row for a shard, and they are streamed through it, in as many tasks as Spark likes, so that
+no task holds a shard and every match is verified on the texts. Nothing is dropped or capped.
 
 Defined results: null and empty texts and those shorter than ``span`` share nothing; a document is never paired with itself; rows
 repeated with one doc_id are one document; other columns are ignored; an empty table gives no rows.
@@ -15,21 +17,25 @@ repeated with one doc_id are one document; other columns are ignored; an empty t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.session import Stages
 
 SPAN = 200
 ANCHOR = 100
 COLD_PLACES = 64
-#: Characters that are hashed at once, which bounds a task's memory; a longer document is hashed by itself.
-CHUNK = 1 << 18
+#: Characters that are hashed at once, which bounds a task's memory; longer documents are hashed in pieces that overlap.
+CHUNK, PIECE = 1 << 18, 1 << 22
+#: Of hashes that agree but for these low bits the leftmost is the anchor; enough to count the characters hashed at once.
+PLACE_BITS = 24
 #: Odd multipliers of the rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
@@ -120,42 +126,64 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+def _thinned(places: np.ndarray, hashes: np.ndarray, of: np.ndarray, reach: int) -> np.ndarray:
+    """Which anchors to keep: in a run of equal ones, as repeated text has them, so many that any ``reach`` places in a row that hold
+    one hold one of those kept. The spans around them are the same."""
+    keep = np.ones(len(places), dtype=bool)
+    tied = (hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1]) & (places[1:] - places[:-1] <= reach)
+    last = None
+    for k in np.flatnonzero(tied) + 1:  # k is tied to k - 1
+        if last is None or last < k - 1 and not tied[k - 2]:
+            last = k - 1
+        if k < len(tied) and tied[k] and places[k + 1] - places[last] <= reach:
+            keep[k] = False
+        else:
+            last = k
+    return keep
+
+
 def anchors(texts: list[str], span: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The anchors of texts of at least ``span`` characters: number of the text, place in it, hash."""
+    """The anchors of texts of at least ``span`` characters: number of the text, place in it, hash. They depend on the ``span``
+    characters around them alone, not on what else is hashed at once."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     codes = _codes("".join(texts))
     hashes = window_hashes(codes, width)
-    n, bits = len(hashes), max(1, int(len(hashes)).bit_length())
-    low = np.uint64((1 << bits) - 1)
-    least = (hashes & ~low) | np.arange(n, dtype=np.uint64)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    least = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
     reach, done = span - width + 1, 1
     while done < reach:
         by = min(done, reach - done)
         least = np.minimum(least[:-by], least[by:])
         done += by
     begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    inside = np.ones(len(least) + 1, dtype=np.int8)
     out = np.zeros(len(codes) + 2, dtype=np.int32)
     np.add.at(out, begins, 1)
     np.add.at(out, begins + lengths - span + 1, -1)
     inside = np.cumsum(out)[: len(least)] > 0
     places = np.unique((least[inside] & low).astype(np.int64))
     of = np.searchsorted(begins, places, "right") - 1
+    keep = _thinned(places, hashes[places], of, reach)
+    places, of = places[keep], of[keep]
     return of, places - begins[of], hashes[places].view(np.int64)
 
 
-def _chunks(ids: pd.Series, texts: pd.Series, span: int) -> Iterator[tuple[list, list[str]]]:
-    own, held, size = [], [], 0
-    for i, t in zip(ids, texts, strict=True):
-        if t is not None and len(t) >= span:
+def _chunks(ids: pd.Series, texts: pd.Series, span: int) -> Iterator[tuple[list, list[int], list[str]]]:
+    """(ids, first characters, texts) to hash at once."""
+    own, begin, held, size = [], [], [], 0
+    for i, whole in zip(ids, texts, strict=True):
+        if whole is None or len(whole) < span:
+            continue
+        for at in range(0, max(1, len(whole) - span + 1), PIECE - span + 1):
+            t = whole[at : at + PIECE]
             if size and size + len(t) > CHUNK:
-                yield own, held
-                own, held, size = [], [], 0
+                yield own, begin, held
+                own, begin, held, size = [], [], [], 0
             own.append(i)
+            begin.append(at)
             held.append(t)
             size += len(t)
     if own:
-        yield own, held
+        yield own, begin, held
 
 
 def shared_places(stages: Stages, documents: DataFrame, span: int, width: int) -> DataFrame:
@@ -167,9 +195,9 @@ def shared_places(stages: Stages, documents: DataFrame, span: int, width: int) -
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for ids, texts in _chunks(pdf["doc_id"], pdf["text"], span):
+            for ids, begin, texts in _chunks(pdf["doc_id"], pdf["text"], span):
                 of, at, h = anchors(texts, span, width)
-                yield pd.DataFrame({"h": h, "doc_id": np.array(ids, dtype=np.int64)[of], "at": at.astype(np.int32)})
+                yield pd.DataFrame({"h": h, "doc_id": np.array(ids, dtype=np.int64)[of], "at": (np.array(begin)[of] + at).astype(np.int32)})
 
     def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -187,7 +215,7 @@ def shared_places(stages: Stages, documents: DataFrame, span: int, width: int) -
     found = stages.write(texts.where(F.length("text") >= span).mapInPandas(find, "h long, doc_id long, at int"))
     several = found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
     held = found.join(several, "h").groupBy("doc_id").agg(F.collect_set(F.struct("at", "h")).alias("held"))
-    return stages.write(texts.join(held.hint("shuffle_hash"), "doc_id").mapInPandas(around, "h long, doc_id long, at int, link long, place string, before int"))
+    return stages.write(texts.join(held, "doc_id").mapInPandas(around, "h long, doc_id long, at int, link long, place string, before int"))
 
 
 def hash_text(text: str) -> int:
@@ -240,25 +268,55 @@ def _gathered(places: DataFrame, span: int, pairs_only: bool) -> DataFrame:
     return places.select("h", "doc_id", "at", "place", "before").repartition("h").sortWithinPartitions("h").mapInPandas(run, ", ".join(f"`{x}` long" for x in names))
 
 
-def _windows(places: DataFrame, span: int, width: int) -> DataFrame:
-    """Hot anchors: (a, b, before_a, doc_id, start) for every window of ``span`` characters that holds the anchor; before_a: of the window one character earlier."""
+def _windows(places: DataFrame, span: int) -> DataFrame:
+    """Hot anchors: (a, b, before_a, h, doc_id, at, start) for every window of ``span`` characters around them; before_a: of the window one character earlier."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             parts = []
-            for doc_id, at, place, before in zip(pdf["doc_id"], pdf["at"], pdf["place"], pdf["before"], strict=True):
+            for h, doc_id, at, place, before in zip(pdf["h"], pdf["doc_id"], pdf["at"], pdf["place"], pdf["before"], strict=True):
                 if len(place) >= span:
                     codes = _codes(place)
                     a, b = (window_hashes(codes, span, x).view(np.int64) for x in BASES)
                     n = len(a)
-                    parts.append(pd.DataFrame({"a": a, "b": b, "before_a": pd.array([None, *a[:-1]], dtype="Int64"), "doc_id": np.full(n, doc_id), "start": np.arange(n, dtype=np.int64) + at - before}))
+                    parts.append(pd.DataFrame({"a": a, "b": b, "before_a": pd.array([None, *a[:-1]], dtype="Int64"), "h": np.full(n, h), "doc_id": np.full(n, doc_id), "at": np.full(n, at, np.int32), "start": np.arange(n, dtype=np.int64) + at - before}))
             if parts:
                 yield pd.concat(parts)
 
-    return places.mapInPandas(run, "a long, b long, before_a long, doc_id long, start long")
+    return places.mapInPandas(run, "a long, b long, before_a long, h long, doc_id long, at int, start long")
+
+
+@lru_cache(8)
+def _automaton(text: str) -> Automaton:
+    return Automaton(text)
 
 
-def _kept(places: DataFrame, span: int, width: int, drop_linked: bool) -> tuple[DataFrame, DataFrame]:
+def _streamed(span: int) -> Callable:
+    def run(place: pd.Series, reference: pd.Series) -> pd.Series:
+        return pd.Series([bool(_automaton(r).spans(p, span)) for p, r in zip(place, reference, strict=True)], dtype=bool)
+
+    return F.pandas_udf(run, T.BooleanType())
+
+
+def _sharded(stages: Stages, hot: DataFrame, span: int, first_only: bool) -> DataFrame:
+    """(key, doc_id, start): the windows of hot anchors that stand in several documents, one key for each shard of equal windows, each
+    verified by the automaton of its shard's first window. With ``first_only`` not those whose window before is as widely shared."""
+    windows = stages.write(_windows(hot, span))
+    groups = windows.groupBy("a", "b").agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("e"), F.count("*").alias("n"), F.count("before_a").alias("m"), F.min("before_a").alias("p"), F.max("before_a").alias("q"))
+    shards = groups.where("d < e" + " AND NOT (n = m AND p = q)" * first_only).select("a", "b")
+    rows = windows.join(shards, ["a", "b"]).select("a", "b", "h", "doc_id", "at", "start")
+    if first_only:
+        rows = rows.groupBy("a", "b", "doc_id").agg(F.min(F.struct("start", "h", "at")).alias("x")).select("a", "b", "doc_id", "x.*")
+    texts = hot.select("h", "doc_id", "at", "place", (F.col("at") - F.col("before")).alias("lo"))
+    cut = F.substring(F.col("place"), (F.col("start") - F.col("lo") + 1).cast("int"), F.lit(span))
+    members = stages.write(rows.join(texts, ["h", "doc_id", "at"]).select("a", "b", "doc_id", "start", cut.alias("window")))
+    firsts = members.groupBy("a", "b").agg(F.min_by("window", F.struct("doc_id", "start")).alias("reference"))
+    proven = members.join(firsts, ["a", "b"]).withColumn("equal", _streamed(span)("window", "reference"))
+    name = F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string"))  # a window that only its hashes put there is a shard by its text
+    return stages.write(proven.select(F.when(F.col("equal"), name).otherwise(F.col("window")).alias("key"), "doc_id", "start"))
+
+
+def _kept(places: DataFrame, drop_linked: bool) -> tuple[DataFrame, DataFrame]:
     """Cold and hot places. An anchor that has the same text back to the anchor before, in all its places, finds nothing that this one doesn't."""
     groups = places.groupBy("h").agg(F.count("*").alias("n"), F.count("link").alias("linked"), F.min("link").alias("l"), F.max("link").alias("m"), F.min("doc_id").alias("d"), F.max("doc_id").alias("e"))
     wanted = groups.where("d < e" + (" AND NOT (linked = n AND l = m)" if drop_linked else "")).select("h", "n")
@@ -269,22 +327,20 @@ def _kept(places: DataFrame, span: int, width: int, drop_linked: bool) -> tuple[
 def shared_pairs(documents: DataFrame, span: int = SPAN, width: int = ANCHOR) -> DataFrame:
     """(left_doc_id, right_doc_id): every pair of documents with a verbatim span of at least ``span`` characters in common."""
     stages = Stages(documents.sparkSession)
-    cold, hot = _kept(shared_places(stages, documents, span, width), span, width, True)
-    windows = stages.write(_windows(hot, span, width))
-    groups = windows.groupBy("a", "b").agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("e"), F.count("*").alias("n"), F.count("before_a").alias("m"), F.min("before_a").alias("p"), F.max("before_a").alias("q"))
-    firsts = windows.join(groups.where("d < e AND NOT (n = m AND p = q)").select("a", "b"), ["a", "b"]).select("a", "b", "doc_id").distinct()
+    cold, hot = _kept(shared_places(stages, documents, span, width), True)
+    firsts = _sharded(stages, hot, span, True).select("key", "doc_id").distinct()
     left, right = firsts.alias("l"), firsts.alias("r")
-    joined = left.join(right, (F.col("l.a") == F.col("r.a")) & (F.col("l.b") == F.col("r.b")) & (F.col("l.doc_id") < F.col("r.doc_id"))).select(F.col("l.doc_id").alias("left_doc_id"), F.col("r.doc_id").alias("right_doc_id"))
+    joined = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.doc_id") < F.col("r.doc_id"))).select(F.col("l.doc_id").alias("left_doc_id"), F.col("r.doc_id").alias("right_doc_id"))
     return _gathered(cold, span, True).union(joined).distinct()
 
 
 def shared_amounts(documents: DataFrame, span: int = SPAN, width: int = ANCHOR) -> DataFrame:
     """(doc_id, n_chars, shared_chars) of every document: how many of its characters stand in spans that other documents hold."""
     stages = Stages(documents.sparkSession)
-    cold, hot = _kept(shared_places(stages, documents, span, width), span, width, False)
-    windows = stages.write(_windows(hot, span, width).select("a", "b", "doc_id", "start"))
-    groups = windows.groupBy("a", "b").agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("e")).where("d < e").select("a", "b")
-    spans = _gathered(cold, span, False).union(windows.join(groups, ["a", "b"]).select("doc_id", "start", (F.col("start") + span).alias("end"))).distinct()
+    cold, hot = _kept(shared_places(stages, documents, span, width), False)
+    windows = _sharded(stages, hot, span, False)
+    several = windows.groupBy("key").agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("e")).where("d < e").select("key")
+    spans = _gathered(cold, span, False).union(windows.join(several, "key").select("doc_id", "start", (F.col("start") + span).alias("end"))).distinct()
     merged = spans.selectExpr("doc_id", "start", "end", "max(end) OVER (PARTITION BY doc_id ORDER BY start, end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached")
     amounts = merged.groupBy("doc_id").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce("reached", F.lit(0))))).alias("shared_chars"))
     sizes = documents.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.length("text")).cast("long").alias("n_chars"))
