@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.session import Stages
 
-SHINGLE_WORDS = 5
-SIMILARITY = 0.8
+#: Postings of a small side that are sent to every executor; above it both sides are shuffled.
+BROADCAST_POSTINGS = 2_000_000
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -37,12 +37,14 @@ def first_rows(docs: DataFrame, *columns: str) -> DataFrame:
     return kept.drop("content_sha256")
 
 
-def shingle_classes(docs: DataFrame, size: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(classes, members): documents with one set of shingles are one class, named by its smallest source_id."""
-    sets = docs.select("source_id", F.array_sort(X.shingles("text", size)).alias("s")).withColumn("set_id", F.sha2(F.array_join("s", "\n"), 256))
-    classes = sets.groupBy("set_id").agg(F.min("source_id").alias("class_id"), F.first("s").alias("s"), F.count("*").alias("n_members"))
-    members = sets.select("source_id", "set_id").join(classes.select("set_id", "class_id"), "set_id").select("source_id", "class_id")
-    return classes.select("class_id", "s", "n_members"), members
+def shingle_classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): documents with one set of shingles are one class, named by its smallest source_id. Sets are staged once."""
+    stages = Stages(docs.sparkSession)
+    own = docs.select("source_id", X.shingle_hashes("text", size).alias("s"))
+    sets = stages.write(own.withColumn("set_id", F.md5(F.array_join(F.col("s").cast("array<string>"), ","))))
+    names = stages.write(sets.groupBy("set_id").agg(F.min("source_id").alias("class_id"), F.count("*").alias("n_members")))
+    classes = sets.join(names, "set_id").where("source_id = class_id").select("class_id", "s", "n_members")
+    return stages.write(classes), sets.select("source_id", "set_id").join(names, "set_id").select("source_id", "class_id")
 
 
 def _prefixes(sets: DataFrame, rarity: DataFrame, threshold: float) -> DataFrame:
@@ -53,17 +55,37 @@ def _prefixes(sets: DataFrame, rarity: DataFrame, threshold: float) -> DataFrame
     return pairs.groupBy("class_id", "n").agg(order.alias("o")).select("class_id", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("o")).select("class_id", "n", F.col("o.w").alias("w"))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: float = SIMILARITY) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: float = 0.8, broadcast_postings: int = BROADCAST_POSTINGS) -> DataFrame:
     """(left_source_id, right_source_id, similarity) of classes whose shingle sets have that Jaccard similarity at least.
 
-    Exact: the prefix and length filters lose no pair, and each candidate is verified on whole sets. Only the few rarest
-    shingles of each set are joined, so that phrases of every document make no candidates. Without ``right`` the pairs are of
-    one collection, the smaller id first. Sets without a word are all alike; classes have at most one such set.
+    Exact. A small right side is sent to every executor and its shingles are counted where they are met, so that no shingle of the left
+    one is shuffled but those in common. Else only the rarest shingles of each set are joined, so that phrases of every document make
+    no candidates; prefix and length filters lose no pair, and each candidate is verified on whole sets. Without ``right`` the pairs
+    are of one collection, the smaller id first. Sets without a word are all alike; classes have at most one such set.
     """
+    if right is None:
+        return _by_prefixes(left, None, threshold)
+    postings = right.agg(F.coalesce(F.sum(F.size("s")), F.lit(0)).alias("n")).first()[0]
+    found = _counted(left, right, threshold) if postings <= broadcast_postings else _by_prefixes(left, right, threshold)
+    empty = left.where(F.size("s") == 0).select(F.col("class_id").alias("left_source_id")).crossJoin(right.where(F.size("s") == 0).select(F.col("class_id").alias("right_source_id")))
+    return found.union(empty.withColumn("similarity", F.lit(1.0)))  # one class at most on either side
+
+
+def _counted(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    long = lambda df, name, size: df.select(F.col("class_id").alias(name), F.size("s").alias(size), F.explode("s").alias("w"))
+    near = F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9
+    met = long(left, "left_source_id", "n").join(F.broadcast(long(right, "right_source_id", "m")), "w").where(near)
+    counts = met.groupBy("left_source_id", "right_source_id", "n", "m").agg(F.count("*").alias("k"))
+    j = counts.withColumn("j", F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).where(F.col("j") >= threshold)
+    return j.select("left_source_id", "right_source_id", F.bround("j", 6).alias("similarity"))
+
+
+def _by_prefixes(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
     both = left if right is None else left.unionByName(right, allowMissingColumns=True)
     rarity = both.select(F.explode("s").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    a = _prefixes(left, rarity, threshold)
-    b = a if right is None else _prefixes(right, rarity, threshold)
+    stages = Stages(left.sparkSession)
+    a = stages.write(_prefixes(left, rarity, threshold))
+    b = a if right is None else stages.write(_prefixes(right, rarity, threshold))
     l, r = a.alias("l"), b.alias("r")
     near = (F.col("l.w") == F.col("r.w")) & (F.least("l.n", "r.n") >= F.greatest("l.n", "r.n") * threshold - 1e-9)
     if right is None:
@@ -72,11 +94,7 @@ def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: fl
     ls = left.select(F.col("class_id").alias("left_source_id"), F.col("s").alias("ls"))
     rs = (left if right is None else right).select(F.col("class_id").alias("right_source_id"), F.col("s").alias("rs"))
     checked = candidates.join(ls, "left_source_id").join(rs, "right_source_id").withColumn("j", X.jaccard("ls", "rs")).where(F.col("j") >= threshold)
-    found = checked.select("left_source_id", "right_source_id", F.bround("j", 6).alias("similarity"))
-    if right is None:
-        return found
-    empty = left.where(F.size("s") == 0).select(F.col("class_id").alias("left_source_id")).crossJoin(right.where(F.size("s") == 0).select(F.col("class_id").alias("right_source_id")))
-    return found.union(empty.withColumn("similarity", F.lit(1.0)))  # one class at most on either side
+    return checked.select("left_source_id", "right_source_id", F.bround("j", 6).alias("similarity"))
 
 
 def connected(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -94,6 +112,8 @@ def connected(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
         nexts = stages.write(low.join(hop, "low", "left").select("v", "c", F.least("low", F.coalesce("jump", "low")).alias("new")).select("v", F.col("new").alias("c"), (F.col("new") != F.col("c")).alias("moved")))
         stages.drop(label)
         label = nexts
+    stages.drop(both)
+    stages.drop(edges)
     return vertices.select("source_id").join(label, F.col("source_id") == F.col("v"), "left").select("source_id", F.coalesce("c", "source_id").alias("cluster_id"))
 
 

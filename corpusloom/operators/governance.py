@@ -10,28 +10,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.operators.ranking import hash_ranks
+from corpusloom.settings import Audit
 
-MIN_CHARS = 80
-LICENSES = ("project-original", "cc-by-4.0")
-
-
-def reasons(min_chars: int = MIN_CHARS, licenses: tuple[str, ...] = LICENSES) -> Column:
-    """The marks against a document, as a sorted array."""
+def reasons(setting: Audit) -> Column:
+    """The marks against a document, as a sorted array. The reasons' names are fixed values."""
     say = lambda cond, word: F.when(cond, F.lit(word))
     return F.array_sort(F.array_compact(F.array(
-        say(F.length("text") < min_chars, "too_short"),
-        say(~F.coalesce(F.col("license").isin(*licenses), F.lit(False)), "license_not_allowed"),
+        say(F.length("text") < setting.min_chars, "too_short"),
+        say(~F.coalesce(F.col("license").isin(*setting.licenses), F.lit(False)), "license_not_allowed"),
         say(F.coalesce(F.col("safety"), F.lit("")) != "safe", "unsafe_metadata"),
         say(X.has_email("text") | X.has_phone("text"), "pii_detected"),
     )))
 
 
-def decided(docs: DataFrame, duplicates: DataFrame, contaminated: DataFrame) -> DataFrame:
+def decided(docs: DataFrame, duplicates: DataFrame, contaminated: DataFrame, setting: Audit) -> DataFrame:
     """source_id, domain, reasons, decision: marks, membership in a cluster without being its keeper, and contamination together."""
-    marked = docs.select("source_id", "pos", "domain", "text", reasons().alias("own"))
+    marked = docs.select("source_id", "pos", "domain", reasons(setting).alias("own"))
     joined = marked.join(duplicates.select("source_id", F.lit("near_duplicate").alias("d")).distinct(), "source_id", "left").join(contaminated.select("source_id", F.lit("evaluation_contamination").alias("c")).distinct(), "source_id", "left")
     every = F.array_sort(F.array_distinct(F.concat("own", F.array_compact(F.array("d", "c")))))
-    return joined.select("source_id", "pos", "domain", "text", every.alias("reasons")).withColumn("decision", F.when(F.size("reasons") == 0, "accept").otherwise("reject"))
+    return joined.select("source_id", "pos", "domain", every.alias("reasons")).withColumn("decision", F.when(F.size("reasons") == 0, "accept").otherwise("reject"))
 
 
 def quotas(weights: DataFrame, total: DataFrame) -> DataFrame:
@@ -42,13 +40,28 @@ def quotas(weights: DataFrame, total: DataFrame) -> DataFrame:
     return exact.withColumn("extra", (F.row_number().over(w) <= left).cast("long")).select("source", "weight", (F.col("base") + F.col("extra")).cast("long").alias("quota"))
 
 
-def selected(docs: DataFrame, quota: DataFrame, seed: int) -> DataFrame:
+def selected(docs: DataFrame, quota: DataFrame, seed: int, digits: int = 3) -> DataFrame:
     """Of each source its quota of records, by hash rank, or all of them where it has fewer: the reference raises then, here
-    shortages() says for each source how many are missing, and shares are the weights only where none is. Ranks within a source
-    come from a window limited by rank, which Spark prunes before the shuffle; a source is never collected."""
+    shortages() says for each source how many are missing, and shares are the weights only where none is (see required()). Ranks come in two
+    levels, so that a source that holds most of all rows is many tasks' work."""
     ranked = docs.join(F.broadcast(quota.select("source", "quota")), "source").withColumn("h", X.seeded_rank(seed, F.col("doc_id").cast("string")))
-    w = Window.partitionBy("source").orderBy("h", "doc_id")
-    return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("quota")).select("source", "doc_id", "h", F.col("rank").cast("long").alias("rank"))
+    placed = hash_ranks(ranked, ["source"], "doc_id", digits)
+    return placed.where(F.col("rank") <= F.col("quota")).select("source", "doc_id", "h", F.col("rank").cast("long").alias("rank"))
+
+
+def required(docs: DataFrame, quota: DataFrame) -> None:
+    """Raises like the reference where a source has fewer records than its quota."""
+    lacking = shortages(docs, quota).where("missing > 0").select("source", "missing").orderBy("source").collect()  # a row a source
+    if lacking:
+        raise ValueError("too few records: " + ", ".join(f"{r['source']} lacks {r['missing']}" for r in lacking))
+
+
+def weights_checked(spec: DataFrame) -> DataFrame:
+    """The specification, or an error if a weight isn't positive or they don't sum to 1. It is small by nature."""
+    bad, total = spec.agg(F.count_if(F.coalesce(F.col("weight"), F.lit(0.0)) <= 0), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    if bad or abs(total - 1) > 1e-9:
+        raise ValueError(f"weights must be positive and sum to 1: {bad} aren't, the sum is {total}")
+    return spec
 
 
 def shortages(docs: DataFrame, quota: DataFrame) -> DataFrame:
@@ -58,18 +71,13 @@ def shortages(docs: DataFrame, quota: DataFrame) -> DataFrame:
     return both.withColumn("missing", F.greatest(F.col("quota") - F.col("available"), F.lit(0).cast("long")))
 
 
-def split(ranked: DataFrame, fraction: float) -> DataFrame:
+def split(ranked: DataFrame, fraction: float, digits: int = 3) -> DataFrame:
     """(source_id, part) of (source_id, h): the lowest max(1, min(n - 1, round(n * fraction))) by h, source_id are for validation, of
-    a single record that one. Ranks come from counts of 4,096 hash buckets and ranks within them, so that no window holds all rows."""
-    keyed = ranked.select("source_id", "h", F.substring("h", 1, 3).alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("c"))
-    every = Window.partitionBy(F.lit(1))
-    n = F.sum("c").over(every)
-    wanted = F.greatest(F.lit(1), F.least(n - 1, F.bround(n * F.lit(fraction)).cast("long")))
-    base = sizes.select("bucket", (F.sum("c").over(every.orderBy("bucket")) - F.col("c")).alias("base"), wanted.alias("wanted"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("h", "source_id"))
-    placed = keyed.withColumn("r", rank).join(F.broadcast(base), "bucket")
-    return placed.select("source_id", F.when(F.col("base") + F.col("r") <= F.col("wanted"), "validation").otherwise("train").alias("part"))
+    a single record that one."""
+    n = ranked.agg(F.count("*").alias("n"))
+    wanted = n.select(F.greatest(F.lit(1), F.least(F.col("n") - 1, F.bround(F.col("n") * F.lit(fraction)).cast("long"))).alias("wanted"))
+    placed = hash_ranks(ranked, [], "source_id", digits).crossJoin(F.broadcast(wanted))
+    return placed.select("source_id", F.when(F.col("rank") <= F.col("wanted"), "validation").otherwise("train").alias("part"))
 
 
 def policy_difference(decisions: DataFrame, contaminated: DataFrame) -> DataFrame:

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.settings import Compute
 
-PARTITIONS = 8
-REPEAT = 8
-HOT_SHARE = 0.75
+PARTITIONS, REPEAT, HOT_SHARE = Compute.partitions, Compute.repeat, Compute.hot_share
 HOT = "hot-key"
 
 

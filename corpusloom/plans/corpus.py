@@ -38,7 +38,8 @@ def compatible_sql(x: str) -> str:
 
 
 def normalize_sql(x: str) -> str:
-    return f"""trim(regexp_replace(regexp_replace(regexp_replace({compatible_sql(x)}, '\\r\\n?', chr(10), 'g'), '{X.BLANK}', ' ', 'g'), '[ \\n]*\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"""
+    blank = r"[\t\x0B\x0C\x1C-\x1F\x{85}\pZ]+"
+    return f"""trim(regexp_replace(regexp_replace(regexp_replace({compatible_sql(x)}, '\\r\\n?', chr(10), 'g'), '{blank}', ' ', 'g'), '[ \\n]*\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"""
 
 
 def documents_sql(name: str) -> str:

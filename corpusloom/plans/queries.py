@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import dedup, feed, governance, packing, partitioning
+from corpusloom.operators import dedup, feed, governance, packing, partitioning, recovery
+from corpusloom.operators.ranking import digits_for
 from corpusloom.plans.corpus import documents
 from corpusloom.session import Stages, table
+from corpusloom.settings import REFERENCE, Audit, Comparison, Compute, Feed, Storage, Version
 from corpusloom.sources import files
 from corpusloom.streaming.feed import windowed_counts
 
-SEED = 42
-EPOCHS, WORKERS, BATCH = 3, 2, 32
-SAMPLE = 256
+SEED = Version.seed
+EPOCHS, WORKERS, BATCH = Feed.epochs, Feed.workers, Feed.batch
+SAMPLE = Storage.samples
 SCANNED = ("raw_documents", "lab04", "documents")
 
 
@@ -75,72 +78,121 @@ def seq_scan_bytes(s, d):
     return blocks.agg(F.count_distinct("path").alias("n_files"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes"), F.sha2(F.array_join(ordered["sha256"], ""), 256).alias("sha256"))
 
 
-# similarity
+# similarity and governance: each with this library's setting, and as NAME_ref with the reference's
 
 
-def shingles(s, d):
-    c = lab(s, d).select("source_id", F.array_sort(X.shingles("text", dedup.SHINGLE_WORDS)).alias("s"))
-    return c.select("source_id", F.size("s").alias("n_shingles"), F.sha2(F.array_join("s", "|"), 256).alias("digest"))
+class _Audit:
+    """What the queries of one call share: normalised texts, shingle classes, pairs, clusters and leaks, each made once."""
 
+    def __init__(self, s: SparkSession, d: str, setting: Audit):
+        self.s, self.d, self.setting = s, d, setting
 
-def _truth(s, d):
-    t = table(s, d, "duplicate_labels").where("left_source_id IS NOT NULL AND right_source_id IS NOT NULL AND is_duplicate IS NOT NULL AND left_source_id <> right_source_id")
-    pairs = t.select(F.least("left_source_id", "right_source_id").alias("left_source_id"), F.greatest("left_source_id", "right_source_id").alias("right_source_id"), "is_duplicate")
-    return pairs.groupBy("left_source_id", "right_source_id").agg(F.bool_or("is_duplicate").alias("is_duplicate"), F.count("*").alias("n_rows"), F.count_if("is_duplicate").alias("n_true"))
+    @cached_property
+    def lab(self) -> DataFrame:
+        return one(self.s, lab(self.s, self.d))
 
+    @cached_property
+    def _lab(self) -> tuple[DataFrame, DataFrame]:
+        return dedup.shingle_classes(self.lab, self.setting.words)
+
+    @property
+    def classes(self) -> DataFrame:
+        return self._lab[0]
+
+    @property
+    def members(self) -> DataFrame:
+        return self._lab[1]
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return one(self.s, dedup.similar_pairs(self.classes, None, self.setting.similarity))
+
+    @cached_property
+    def leaks(self) -> DataFrame:
+        held_out = dedup.shingle_classes(documents(self.s, self.d, "evaluation"), self.setting.words)[0]
+        return one(self.s, dedup.similar_pairs(self.classes, held_out, self.setting.contamination))
+
+    @cached_property
+    def clusters(self) -> DataFrame:
+        labels = dedup.connected(self.classes.select(F.col("class_id").alias("source_id")), self.pairs)
+        every = self.members.join(labels.withColumnRenamed("source_id", "class_id"), "class_id").select("source_id", "cluster_id")
+        sizes = every.groupBy("cluster_id").agg(F.count("*").alias("n_members")).where("n_members > 1")
+        return one(self.s, every.join(sizes, "cluster_id").select("source_id", "cluster_id", "n_members"))
+
+    @cached_property
+    def decisions(self) -> DataFrame:
+        lost = self.clusters.where("source_id <> cluster_id").select("source_id")
+        leaked = self.members.join(self.leaks.select(F.col("left_source_id").alias("class_id")).distinct(), "class_id").select("source_id")
+        return one(self.s, governance.decided(self.lab, lost, leaked, self.setting))
+
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        """Labelled pairs of known records; truth_violations counts the others."""
+        sets = one(self.s, self.lab.select("source_id", X.shingle_hashes("text", self.setting.words).alias("s")))
+        side = lambda name, c: sets.select(F.col("source_id").alias(name), F.col("s").alias(c))
+        j = _truth(self.s, self.d).join(side("left_source_id", "a"), "left_source_id").join(side("right_source_id", "b"), "right_source_id")
+        similar = j.withColumn("similarity", X.jaccard("a", "b"))
+        return similar.select("left_source_id", "right_source_id", "is_duplicate", "similarity", (F.col("similarity") >= self.setting.similarity).alias("predicted_duplicate"))
 
-def truth_pair_canonical(s, d):
-    return _truth(s, d)
+
+def shingles(a: _Audit):
+    c = a.lab.select("source_id", F.array_sort(X.shingles("text", a.setting.words)).alias("s"))
+    return c.select("source_id", F.size("s").alias("n_shingles"), F.sha2(F.array_join("s", "|"), 256).alias("digest"))
 
 
-def _outcomes(s, d):
-    sets = lab(s, d).select("source_id", X.shingles("text", dedup.SHINGLE_WORDS).alias("s"))
-    j = _truth(s, d).join(sets.select(F.col("source_id").alias("left_source_id"), F.col("s").alias("a")), "left_source_id").join(sets.select(F.col("source_id").alias("right_source_id"), F.col("s").alias("b")), "right_source_id")
-    return j.withColumn("similarity", X.jaccard("a", "b")).select("left_source_id", "right_source_id", "is_duplicate", "similarity", (F.col("similarity") >= dedup.SIMILARITY).alias("predicted_duplicate"))
+def _labels(s, d):
+    usable = "left_source_id IS NOT NULL AND right_source_id IS NOT NULL AND is_duplicate IS NOT NULL AND left_source_id <> right_source_id"
+    t = table(s, d, "duplicate_labels").where(usable)
+    return t.select(F.least("left_source_id", "right_source_id").alias("left_source_id"), F.greatest("left_source_id", "right_source_id").alias("right_source_id"), "is_duplicate")
 
 
-def jaccard_scalar(s, d):
-    return _outcomes(s, d).select("left_source_id", "right_source_id", F.bround("similarity", 6).alias("similarity"))
+def _truth(s, d):
+    return _labels(s, d).groupBy("left_source_id", "right_source_id").agg(F.bool_or("is_duplicate").alias("is_duplicate"), F.count("*").alias("n_rows"), F.count_if("is_duplicate").alias("n_true"))
 
 
-def truth_outcomes(s, d):
-    return _outcomes(s, d).withColumn("similarity", F.bround("similarity", 6))
+def truth_pair_canonical(s, d):
+    return _truth(s, d)
 
 
-def dedup_confusion(s, d):
-    return dedup.confusion(_outcomes(s, d))
+def truth_violations(s, d):
+    """What the reference refuses in labels: null ids or labels, records paired with themselves, ids that lab04 doesn't have, pairs that are
+    repeated and pairs that are labelled both ways."""
+    t = table(s, d, "duplicate_labels")
+    plain = t.agg(F.count_if(F.expr("left_source_id IS NULL OR right_source_id IS NULL")).alias("null_id"), F.count_if(F.expr("is_duplicate IS NULL")).alias("null_label"), F.count_if(F.expr("left_source_id = right_source_id")).alias("self_pair"))
+    named = t.select(F.explode(F.array("left_source_id", "right_source_id")).alias("source_id")).where("source_id IS NOT NULL").distinct()
+    known = table(s, d, "lab04").where("text IS NOT NULL").select("source_id")
+    unknown = named.join(known, "source_id", "left_anti").agg(F.count("*").alias("unknown_id"))
+    pairs = _truth(s, d).agg(F.count_if(F.expr("n_rows > 1")).alias("repeated_pair"), F.count_if(F.expr("n_true > 0 AND n_true < n_rows")).alias("contradicted_pair"))
+    kinds = ["null_id", "null_label", "self_pair", "unknown_id", "repeated_pair", "contradicted_pair"]
+    return plain.crossJoin(unknown).crossJoin(pairs).unpivot([], kinds, "violation", "n")
 
 
-def _classes(s, d, name="lab04"):
-    classes, members = dedup.shingle_classes(documents(s, d, name))
-    return one(s, classes), one(s, members)
+def jaccard_scalar(a: _Audit):
+    return a.outcomes.select("left_source_id", "right_source_id", F.bround("similarity", 6).alias("similarity"))
 
 
-def near_dup_pairs(s, d):
-    return dedup.similar_pairs(_classes(s, d)[0])
+def truth_outcomes(a: _Audit):
+    return a.outcomes.withColumn("similarity", F.bround("similarity", 6))
 
 
-def near_dup_members(s, d):
-    return _classes(s, d)[1]
+def dedup_confusion(a: _Audit):
+    return dedup.confusion(a.outcomes)
 
 
-def contamination_pairs(s, d):
-    return dedup.similar_pairs(_classes(s, d)[0], _classes(s, d, "evaluation")[0])
+def near_dup_pairs(a: _Audit):
+    return a.pairs.orderBy("left_source_id", "right_source_id")
 
 
-def _clusters(s, d):
-    classes, members = _classes(s, d)
-    labels = dedup.connected(classes.select(F.col("class_id").alias("source_id")), dedup.similar_pairs(classes))
-    every = members.join(labels.withColumnRenamed("source_id", "class_id"), "class_id").select("source_id", "cluster_id")
-    sizes = every.groupBy("cluster_id").agg(F.count("*").alias("n_members")).where("n_members > 1")
-    return every.join(sizes, "cluster_id").select("source_id", "cluster_id", "n_members")
+def near_dup_members(a: _Audit):
+    return a.members
 
 
-def dup_clusters(s, d):
-    return _clusters(s, d)
+def contamination_pairs(a: _Audit):
+    return a.leaks.orderBy("left_source_id", "right_source_id")
 
 
-# governance
+def dup_clusters(a: _Audit):
+    return a.clusters
 
 
 def pii_email(s, d):
@@ -152,47 +204,44 @@ def pii_phone(s, d):
 
 
 def quality_reasons(s, d):
-    return lab(s, d).select("source_id", F.array_join(governance.reasons(), ",").alias("reasons"))
-
+    return lab(s, d).select("source_id", F.array_join(governance.reasons(Audit()), ",").alias("reasons"))
 
-def _leaked(s, d):
-    classes, members = _classes(s, d)
-    found = dedup.similar_pairs(classes, _classes(s, d, "evaluation")[0]).select(F.col("left_source_id").alias("class_id")).distinct()
-    return members.join(found, "class_id").select("source_id")
 
+def quality_decision(a: _Audit):
+    return a.decisions.select("source_id", "decision", F.array_join("reasons", ",").alias("reasons"))
 
-def _decisions(s, d):
-    lost = _clusters(s, d).where("source_id <> cluster_id").select("source_id")
-    return one(s, governance.decided(lab(s, d), lost, _leaked(s, d)))
 
+def reason_counts(a: _Audit):
+    return a.decisions.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n")).orderBy("reason")
 
-def quality_decision(s, d):
-    return _decisions(s, d).select("source_id", "decision", F.array_join("reasons", ",").alias("reasons"))
 
+def quality_metrics(a: _Audit):
+    has = lambda reason: F.count_if(F.array_contains("reasons", reason))
+    own = a.decisions.agg(F.count("*").alias("n_documents"), F.count_if(F.col("decision") == "accept").alias("n_accepted"), F.count_if(F.col("decision") == "reject").alias("n_rejected"), has("near_duplicate").alias("n_near_duplicates"), has("evaluation_contamination").alias("n_contaminated"))
+    counts = (a.pairs.agg(F.count("*").alias("n_pairs")), a.leaks.agg(F.count("*").alias("n_contamination_pairs")), a.clusters.agg(F.count_distinct("cluster_id").alias("n_clusters")))
+    for x in counts:  # a row each
+        own = own.crossJoin(x)
+    return own
 
-def reason_counts(s, d):
-    return _decisions(s, d).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
-
-def quality_metrics(s, d):
-    return _decisions(s, d).agg(F.count("*").alias("n_documents"), F.count_if(F.col("decision") == "accept").alias("n_accepted"), F.count_if(F.col("decision") == "reject").alias("n_rejected"), F.count_if(F.array_contains("reasons", "near_duplicate")).alias("n_near_duplicates"), F.count_if(F.array_contains("reasons", "evaluation_contamination")).alias("n_contaminated"))
-
-
-def policy_candidate(s, d):
-    x = _decisions(s, d)
+def policy_candidate(a: _Audit):
+    x = a.decisions
     return x.where("decision = 'accept'").join(x.where(F.array_contains("reasons", "evaluation_contamination")).select("source_id"), "source_id", "left_anti").select("source_id")
 
 
-def policy_diff(s, d):
-    x = _decisions(s, d)
+def policy_diff(a: _Audit):
+    x = a.decisions
     return governance.policy_difference(x, x.where(F.array_contains("reasons", "evaluation_contamination"))).withColumn("reasons", F.array_join("reasons", ","))
 
 
+AUDITED = (shingles, jaccard_scalar, truth_outcomes, dedup_confusion, near_dup_pairs, near_dup_members, contamination_pairs, dup_clusters, quality_decision, reason_counts, quality_metrics, policy_candidate, policy_diff)
+
+
 # mixing
 
 
 def _spec(s, d):
-    return table(s, d, "mix_spec").where("source IS NOT NULL").select("source", "weight")
+    return governance.weights_checked(table(s, d, "mix_spec").where("source IS NOT NULL").select("source", "weight"))
 
 
 def _listed(s, d):
@@ -212,26 +261,41 @@ def mix_shortage(s, d):
     return governance.shortages(_listed(s, d), _quota(s, d))
 
 
+def _selected(s, d):
+    return governance.selected(_listed(s, d), _quota(s, d), SEED, digits_for(table(s, d, "documents").count()))
+
+
 def mix_select(s, d):
     """Of each source its quota of records, or all it has: see mix_shortage."""
-    return governance.selected(_listed(s, d), _quota(s, d), SEED).select("source", "doc_id", "rank")
+    return _selected(s, d).select("source", "doc_id", "rank")
 
 
 def mix_order(s, d):
     """The records of mix_select in mixed order."""
-    chosen = governance.selected(_listed(s, d), _quota(s, d), SEED).withColumn("order_key", F.sha2(F.concat(F.lit(f"mix:{SEED}:"), F.col("doc_id").cast("string")), 256))
+    chosen = _selected(s, d).withColumn("order_key", F.sha2(F.concat(F.lit(f"mix:{SEED}:"), F.col("doc_id").cast("string")), 256))
     return chosen.select("doc_id", "source", "order_key").orderBy("order_key", "doc_id")
 
 
 def mix_actual_weights(s, d):
     """Shares of what was selected; they aren't the weights where mix_shortage has missing records."""
-    n = governance.selected(_listed(s, d), _quota(s, d), SEED).groupBy("source").agg(F.count("*").alias("n"))
+    n = _selected(s, d).groupBy("source").agg(F.count("*").alias("n"))
     return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).select("source", "n", F.bround(F.col("n") / F.col("total"), 6).alias("actual_weight"))
 
 
 def hash_split(s, d):
     """A tenth for validation by hash rank, one record at least on either side where there are two."""
-    return governance.split(one(s, raw(s, d).select("source_id", X.seeded_rank(SEED, "source_id").alias("h"))), 0.1)
+    ranked = one(s, raw(s, d).select("source_id", X.seeded_rank(SEED, "source_id").alias("h")))
+    return governance.split(ranked, Comparison.validation, digits_for(ranked.count()))
+
+
+def split_check(s, d):
+    """Records on both sides of the split, on none, and on each: the sides must be disjoint and cover all."""
+    parts, ids = one(s, hash_split(s, d)), raw(s, d).select("source_id")
+    side = lambda p: parts.where(F.col("part") == p).select("source_id")
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    both = n(side("train").intersect(side("validation")), "in_both")
+    neither = n(ids.exceptAll(parts.select("source_id")), "in_neither")
+    return both.crossJoin(neither).crossJoin(n(side("train"), "n_train")).crossJoin(n(side("validation"), "n_validation"))
 
 
 # packing
@@ -258,7 +322,9 @@ def token_offsets(s, d):
 
 
 def _sequences(s, d):
-    return packing.sequences(_total(_stream(s, d).select("global_end")))
+    """Windows follow from the number of tokens alone, which takes no offsets."""
+    sized = raw(s, d).withColumn("n_tokens", (F.octet_length("text") + 2).cast("long"))
+    return packing.sequences(dedup.first_rows(sized, "n_tokens").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total")))
 
 
 def packing_metrics(s, d):
@@ -292,8 +358,14 @@ def shard_stats(s, d):
     placed = _lean(s, d)
     q = packing.sequences(_total(placed))
     prov = packing.provenance(placed).withColumn("shard", F.floor(F.col("seq") / packing.SHARD_SEQUENCES))
-    n_docs = prov.groupBy("shard").agg(F.countDistinct("doc").alias("n_documents"), F.countDistinct("domain").alias("n_domains"))
-    return q.groupBy("shard").agg(F.count("*").alias("n_sequences"), F.sum("trainable").alias("trainable_tokens")).join(n_docs, "shard").select(F.format_string("shard-%05d", "shard").alias("shard"), "n_sequences", "trainable_tokens", "n_documents", "n_domains")
+    n_docs = prov.groupBy("shard").agg(F.countDistinct("doc").alias("n_documents"), F.countDistinct("domain").alias("n_domains"), F.sha2(F.array_join(F.array_sort(F.collect_set("source_id")), ","), 256).alias("source_ids_sha"))
+    return q.groupBy("shard").agg(F.count("*").alias("n_sequences"), F.sum("trainable").alias("trainable_tokens")).join(n_docs, "shard").select(F.format_string("shard-%05d", "shard").alias("shard"), "n_sequences", "trainable_tokens", "n_documents", "n_domains", "source_ids_sha")
+
+
+def shard_domains(s, d):
+    """How many spans of each domain a shard has."""
+    prov = packing.provenance(_lean(s, d))
+    return prov.groupBy(F.format_string("shard-%05d", F.floor(F.col("seq") / packing.SHARD_SEQUENCES)).alias("shard"), "domain").agg(F.count("*").alias("n_spans"))
 
 
 def sequence_lineage(s, d):
@@ -331,7 +403,7 @@ def token_budget(s, d):
 
 
 def domain_agg(s, d):
-    return table(s, d, "documents").groupBy("domain").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
+    return table(s, d, "documents").groupBy("domain").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars")).orderBy("domain")
 
 
 def domain_agg_equiv(s, d):
@@ -343,9 +415,12 @@ def domain_agg_equiv(s, d):
 
 
 def _expanded(s, d):
+    """Ordinals are ranks by doc_id, whatever gaps the ids have."""
     t = table(s, d, "documents")
-    docs = t.select((F.col("doc_id") - 1).alias("ordinal"), F.col("doc_id").cast("string").alias("source_id"), "domain", F.length("text").alias("n_chars"))
-    return partitioning.expanded(docs, t.agg(F.count("*").alias("n")))
+    sized = one(s, t.select("doc_id", "domain", F.length("text").alias("n_chars")))
+    placed = packing.offsets(sized.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("pos"), "domain", "n_chars", F.lit(1).cast("long").alias("n_tokens")))
+    docs = placed.select(F.col("global_start").alias("ordinal"), F.col("doc").cast("string").alias("source_id"), "domain", "n_chars")
+    return partitioning.expanded(docs, sized.agg(F.count("*").alias("n")))
 
 
 def skew_expand(s, d):
@@ -372,11 +447,34 @@ def skew_improvement(s, d):
     return a.crossJoin(b).select(F.col("part").alias("hash_ratio"), F.col("salted_part").alias("salted_ratio"), F.bround(F.col("part") - F.col("salted_part"), 6).alias("improvement"))
 
 
+def _partition_files(s, d):
+    """The folder with the files of both strategies."""
+    root = f"{Stages(s).root}/partitions"
+    rows = partitioning.salted(_expanded(s, d))
+    for strategy, column in (("hash", "part"), ("salted", "salted_part")):
+        files.write_partitions(rows.select("row_id", F.col(column).alias("part")), f"{root}/{strategy}", "part")
+    return root
+
+
+def partition_files(s, d):
+    """(strategy, part, n_rows) as read from the partition files of both strategies."""
+    root = _partition_files(s, d)
+    each = [s.read.parquet(f"{root}/{x}").groupBy("part").agg(F.count("*").alias("n_rows")).select(F.lit(x).alias("strategy"), "part", "n_rows") for x in ("hash", "salted")]
+    return each[0].union(each[1])
+
+
 def task_recovery_summary(s, d):
-    """Of each partition: attempts when the first attempt of partition 0 is lost, and what a second pass has to do again (nothing). These
-    are computed expectations; no attempt is made to fail."""
-    rows = partitioning.salted(_expanded(s, d)).groupBy("salted_part").agg(F.count("*").alias("n"))
-    return rows.agg(F.count("*").alias("completed"), F.sum(F.when(F.col("salted_part") == 0, 2).otherwise(1)).alias("attempts"), F.count_if(F.col("salted_part") == 0).alias("retries"), F.count("*").alias("reused"))
+    """Partitions counted from their files, where the first attempt at one fails, is made again, and a further pass finds the markers of all."""
+    root = _partition_files(s, d)
+    found = files.listed(s, f"{root}/salted", "/part=([0-9]+)/", "p").select(F.col("p").cast("int").alias("part"), "paths")
+    parts = one(s, s.range(Compute.partitions).select(F.col("id").cast("int").alias("part")).join(found, "part", "left"))
+    runs = recovery.run_with_retry(s, parts, f"{root}/markers", Compute.failing)
+    done = F.count_if(F.col("done") & (F.col("round") < 3))
+    return runs.agg(done.alias("completed"), F.count_if(F.col("round") < 3).alias("attempts"), F.count_if(F.col("round") == 2).alias("retries"), F.count_if((F.col("round") == 3) & F.col("reused")).alias("reused"), F.sum(F.when(F.col("round") == 3, F.col("n_rows"))).alias("n_rows"))
+
+
+def parallelism_contract(s, d):
+    return recovery.parallelism_contract(s)
 
 
 # feed
@@ -391,22 +489,25 @@ def worker_shard_assign(s, d):
 
 
 def feed_integrity(s, d):
-    """Delivered samples and batches: every worker forms batches of its own, the last one may be short."""
-    q = feed.workers(_sequences(s, d), WORKERS)
-    each = q.groupBy("worker").agg(F.count("*").alias("n"), F.sum("trainable").alias("t"))
-    return each.agg((F.sum("n") * EPOCHS).alias("samples"), F.sum("n").alias("distinct_sequences"), (F.sum("t") * EPOCHS).alias("trainable_tokens"), F.sum(F.ceil(F.col("n") * EPOCHS / BATCH)).alias("batches"))
+    """Delivered samples and batches, counted over the delivered rows: every worker forms batches of its own, the last one may be short."""
+    delivered = feed.epochs(feed.workers(_sequences(s, d), WORKERS), EPOCHS)
+    each = delivered.groupBy("worker", "sequence_id").agg(F.count("*").alias("n"), F.sum("trainable").alias("t")).groupBy("worker").agg(F.sum("n").alias("n"), F.count("*").alias("q"), F.sum("t").alias("t"))
+    return each.agg(F.sum("n").alias("samples"), F.sum("q").alias("distinct_sequences"), F.sum("t").alias("trainable_tokens"), F.sum(F.ceil(F.col("n") / BATCH)).alias("batches"))
 
 
 def batch_schedule(s, d):
-    return feed.schedule(_sequences(s, d).select(F.col("sequence_id").alias("id")), EPOCHS, BATCH, SEED).withColumnRenamed("id", "sequence_id")
+    ids = one(s, _sequences(s, d).select(F.col("sequence_id").alias("id")))
+    return feed.schedule(ids, EPOCHS, BATCH, SEED, digits_for(ids.count())).withColumnRenamed("id", "sequence_id")
 
 
 def resume_equivalence(s, d):
-    """The schedule up to a cursor and from it on, against the whole: rows that differ. Both parts come from one written table, so 0 is
-    expected by construction."""
-    whole = one(s, batch_schedule(s, d))
-    cursor = (F.col("epoch") > 1) | ((F.col("epoch") == 1) & (F.col("step") >= 2))
-    parts = whole.where(~cursor).unionAll(whole.where(cursor))
+    """A run that stops at a cursor and one that is made anew from the source and goes on at the stored cursor, against one that doesn't
+    stop: rows that differ."""
+    root = f"{Stages(s).root}/cursor.json"
+    done = one(s, batch_schedule(s, d).where(recovery.before(1, 2)))
+    recovery.store_cursor(root, 1, 2)
+    went_on = batch_schedule(s, d).where(~recovery.before(*recovery.load_cursor(root)))
+    parts, whole = one(s, done.unionAll(went_on)), one(s, batch_schedule(s, d))
     return whole.exceptAll(parts).unionAll(parts.exceptAll(whole)).agg(F.count("*").alias("n_different"))
 
 
@@ -433,6 +534,19 @@ def random_sample_read(s, d):
     return files.read_lines(s, entries, root).select("source_id", (F.octet_length("line") - 1).alias("n_bytes"))
 
 
+def storage_workloads(s, d):
+    """(workload, operations, n_bytes): whole scans again and again, reads by the index, and lines written by several writers at once and read again."""
+    setting, stages = Storage(), Stages(s)
+    scans = [files.sequential_bytes(s, [f"{d}/{n}.parquet" for n in SCANNED]) for _ in range(setting.scans)]
+    read = reduce(DataFrame.unionAll, scans).agg(F.count("*").alias("operations"), F.sum("n_bytes").alias("n_bytes"))
+    picked = random_sample_read(s, d).agg(F.count("*").alias("operations"), F.sum("n_bytes").cast("long").alias("n_bytes"))
+    raw(s, d).select("text").repartition(setting.writers).write.text(f"{stages.root}/written")
+    back = s.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{stages.root}/written").select("length")
+    wrote = back.agg(F.count("*").alias("operations"), F.sum("length").alias("n_bytes"))
+    named = [x.select(F.lit(n).alias("workload"), "operations", "n_bytes") for n, x in (("sequential_read", read), ("indexed_read", picked), ("parallel_write", wrote))]
+    return reduce(DataFrame.unionAll, named)
+
+
 # comparisons of runs; the loss facts stand in lineitem
 
 
@@ -445,6 +559,11 @@ def ab_sequence_delta(s, d):
     return feed.run_means(_losses(s, d))
 
 
+def ab_one_sided(s, d):
+    """Sequences that one run lacks, for which the reference refuses the comparison; ab_sequence_delta is over the others."""
+    return feed.one_sided(_losses(s, d))
+
+
 def failure_topk(s, d):
     return ab_sequence_delta(s, d).orderBy(F.desc("delta"), "sequence_id").limit(3)
 
@@ -486,7 +605,7 @@ def content_fingerprint(s, d):
 
 
 def pretoken_counts(s, d):
-    """Words in lower case. These aren't byte-level pre-tokens: no vocabulary can be trained from them, and none is."""
+    """Words in lower case: counts for vocabulary statistics. No tokenizer is trained here; public ones are used as they are."""
     return raw(s, d).select(F.explode(X.words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -495,15 +614,21 @@ def event_windows(s, d):
     return windowed_counts(table(s, d, "events"))
 
 
-NAMES = """doc_scan_validate normalize_text content_hash_id exact_dedup exact_dedup_stats ctas_json_infer seq_scan_bytes shingles truth_pair_canonical
-jaccard_scalar truth_outcomes dedup_confusion near_dup_pairs near_dup_members contamination_pairs dup_clusters pii_email pii_phone quality_reasons
-quality_decision reason_counts quality_metrics policy_candidate policy_diff mix_quota mix_shortage mix_select mix_order mix_actual_weights hash_split token_offsets
-packing_metrics pack_provenance pack_sequences sequence_contract_check shard_assign shard_stats sequence_lineage dataset_version_metrics shard_roundtrip
+PLAIN = """doc_scan_validate normalize_text content_hash_id exact_dedup exact_dedup_stats ctas_json_infer seq_scan_bytes truth_pair_canonical truth_violations
+pii_email pii_phone quality_reasons mix_quota mix_shortage mix_select mix_order mix_actual_weights hash_split split_check token_offsets
+packing_metrics pack_provenance pack_sequences sequence_contract_check shard_assign shard_stats shard_domains sequence_lineage dataset_version_metrics shard_roundtrip
 strict_budget_filter token_budget domain_agg domain_agg_equiv skew_expand hash_partition_id skew_salted_partition partition_distribution skew_improvement
-task_recovery_summary epoch_repeat worker_shard_assign feed_integrity batch_schedule resume_equivalence latency_percentiles line_offset_index
-random_sample_read ab_sequence_delta failure_topk ab_compare ab_seed_aggregate ab_controls masked_mean token_weighted_loss content_fingerprint
+partition_files task_recovery_summary parallelism_contract epoch_repeat worker_shard_assign feed_integrity batch_schedule resume_equivalence latency_percentiles line_offset_index
+random_sample_read storage_workloads ab_sequence_delta ab_one_sided failure_topk ab_compare ab_seed_aggregate ab_controls masked_mean token_weighted_loss content_fingerprint
 pretoken_counts event_windows""".split()
 
 
+def _audited(query: Callable[[_Audit], DataFrame], setting: Audit) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: query(_Audit(s, d, setting))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: globals()[n] for n in NAMES}
+    found = {n: globals()[n] for n in PLAIN}
+    for q in AUDITED:
+        found |= {q.__name__: _audited(q, Audit()), f"{q.__name__}_ref": _audited(q, REFERENCE)}
+    return found

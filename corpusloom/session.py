@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import logging
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,39 +27,65 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where the session names none, a temporary one (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or, where a local session names none, as in tests, a temporary one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     known = getattr(spark.sparkContext, "_loom_dir", None)
     if known is None:
-        known = "file://" + tempfile.mkdtemp(prefix="loom-")
+        made = tempfile.mkdtemp(prefix="loom-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        known = "file://" + made
         spark.sparkContext._loom_dir = known
         spark.sparkContext.setCheckpointDir(known)
     return known
 
 
 def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # the session has ended; what is left lies in the cluster's own checkpoint folder
+        return
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _remove_last(spark: SparkSession, path: str) -> None:
+    try:
+        _remove(spark, path)
+    except Exception as e:  # noqa: BLE001 - nothing can be done any more while the interpreter ends
+        logging.getLogger(__name__).warning("%s wasn't removed: %s", path, type(e).__name__)
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, all tables that were staged within: for callers that know when they are done with their results."""
+    _SCOPES.append([])
     try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001 - the session may be gone; leftovers lie in the cluster's own checkpoint folder
-        pass
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _remove(spark, path)
 
 
 class Stages:
     """Tables written to the shared folder, so that what is computed once survives the loss of any executor.
 
     A written table cuts lineage like checkpoint() does, is columnar and compressed, and lets later scans
-    prune columns. ``drop`` removes one table early; all others go when the interpreter ends.
+    prune columns. ``drop`` removes one table early, ``scope`` those of a whole computation; what is left goes when the interpreter ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/stages-{uuid.uuid4().hex}"
         self.made = 0
-        atexit.register(_remove, spark, self.root)
+        if _SCOPES:
+            _SCOPES[-1].append(self.root)
+        else:
+            atexit.register(_remove_last, spark, self.root)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.made += 1
@@ -78,7 +109,9 @@ def ship_code(spark: SparkSession) -> None:
     from pathlib import Path
 
     here = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="loom-code-")) / "corpusloom.zip"
+    folder = tempfile.mkdtemp(prefix="loom-code-")  # the driver's own; Spark's file server sends it on
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "corpusloom.zip"
     with zipfile.ZipFile(target, "w") as out:
         for p in sorted(here.rglob("*.py")):
             out.write(p, f"{here.name}/{p.relative_to(here)}")

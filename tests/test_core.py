@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 from corpusloom import catalog
 from corpusloom.functions import text as X
 from corpusloom.operators import dedup, governance, packing
-from corpusloom.plans.sql import RAW
 from corpusloom.sources import files
 
 SMALL = "/root/testdata/sf0.001"
-CHEAP = "doc_scan_validate normalize_text exact_dedup shingles near_dup_pairs quality_reasons mix_select token_offsets pack_provenance shard_stats skew_improvement batch_schedule latency_percentiles line_offset_index failure_topk masked_mean content_fingerprint sequence_contract_check".split()
+CHEAP = "doc_scan_validate normalize_text exact_dedup shingles near_dup_pairs quality_metrics_ref contamination_pairs_ref dedup_confusion_ref truth_violations pii_phone quality_reasons mix_select token_offsets pack_provenance pack_sequences hash_split split_check partition_files task_recovery_summary feed_integrity resume_equivalence shard_domains ab_one_sided shard_stats skew_improvement batch_schedule latency_percentiles line_offset_index failure_topk masked_mean content_fingerprint sequence_contract_check".split()
 
 
 @pytest.mark.parametrize("name", CHEAP)
@@ -21,18 +20,6 @@ def test_against_sql(spark, name):
     assert differ(spark, views(SMALL), SMALL, catalog.queries()[name], catalog.oracle_sql()[name]) == ""
 
 
-#: The SQL of these leaves the deduplication by content out; here its table is cut to first occurrences, the rest of the SQL is used as it is.
-STREAMED = "token_offsets packing_metrics pack_provenance shard_assign shard_stats sequence_lineage dataset_version_metrics strict_budget_filter token_budget epoch_repeat worker_shard_assign feed_integrity batch_schedule".split()
-
-
-@pytest.mark.parametrize("name", STREAMED)
-def test_stream_has_each_text_once(spark, name):
-    first = "raw AS MATERIALIZED (SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY pos, source_id) AS nth FROM every) WHERE nth = 1)"
-    sql = catalog.oracle_sql()[name]
-    assert sql.count(RAW) == 1
-    assert differ(spark, views(SMALL), SMALL, catalog.queries()[name], sql.replace(RAW, RAW.replace("raw AS", "every AS", 1) + ", " + first)) == ""
-
-
 def test_packed_windows_have_each_text_once(spark):
     q = catalog.queries()
     n = q["packing_metrics"](spark, SMALL).first()
@@ -63,7 +50,8 @@ def test_normalize(spark):
 
 def test_shingles_and_jaccard(spark):
     rows = spark.createDataFrame([("a b c d", "A b, c d"), ("a b", "a b c"), ("", "!"), (None, "x")], "a string, b string")
-    got = [r[0] for r in rows.select(X.jaccard(X.shingles("a", 3), X.shingles("b", 3))).collect()]
+    got = [r[0] for r in rows.select(X.jaccard(X.shingle_hashes("a", 3), X.shingle_hashes("b", 3))).collect()]
+    assert got == [r[0] for r in rows.select(X.jaccard(X.shingles("a", 3), X.shingles("b", 3))).collect()]
     assert got[:3] == [1.0, 0.0, 1.0]
 
 
@@ -99,7 +87,7 @@ def test_quotas(spark):
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "source_id string, text string")
-    classes, members = dedup.shingle_classes(none)
+    classes, members = dedup.shingle_classes(none, 5)
     assert classes.count() == members.count() == dedup.similar_pairs(classes).count() == 0
 
 
@@ -187,3 +175,131 @@ def test_split_has_its_size(spark, n):
 def test_split_of_the_table(spark):
     parts = [r.part for r in catalog.queries()["hash_split"](spark, SMALL).collect()]
     assert parts.count("validation") == round(len(parts) * 0.1)
+
+
+@pytest.mark.parametrize("threshold", [0.45, 0.8])
+def test_leaks_by_broadcast_and_by_prefixes(spark, threshold):
+    words = [f"w{i}" for i in range(40)]
+    left = [(f"l{i}", " ".join(words[i : i + 12])) for i in range(20)] + [("none", "!!")]
+    right = [(f"r{i}", " ".join([*words[i : i + 11], "other"])) for i in range(0, 20, 5)] + [("empty", "?")]
+    a, b = (dedup.shingle_classes(spark.createDataFrame(x, "source_id string, text string"), 3)[0] for x in (left, right))
+    runs = lambda t: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)}
+    want = {(x, y) for x, s in left[:-1] for y, u in right[:-1] if len(runs(s) & runs(u)) / len(runs(s) | runs(u)) >= threshold} | {("none", "empty")}
+    assert want == {tuple(r)[:2] for r in dedup.similar_pairs(a, b, threshold).collect()} == {tuple(r)[:2] for r in dedup.similar_pairs(a, b, threshold, broadcast_postings=0).collect()}
+
+
+def test_phone_marks(spark):
+    texts = ["8613812345678", "+8613812345678", "+86 13812345678", "x13812345678y", "213812345678", "138123456789", "12812345678"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(X.has_phone("text")).collect()]
+    assert got == [True, True, True, True, False, False, False]
+
+
+def test_windows_of_a_huge_stream(spark):
+    q = packing.sequences(spark.createDataFrame([(3 * 10**9 + 1,)], "total long"), 1024)
+    assert q.count() == -(-3 * 10**9 // 1024) and q.rdd.getNumPartitions() > 1
+    assert "Generate" in packing.sequences(spark.createDataFrame([(3 * 10**12,)], "total long"))._jdf.queryExecution().toString()
+    assert packing.sequences(spark.createDataFrame([(1,)], "total long")).count() == packing.sequences(spark.createDataFrame([(0,)], "total long")).count() == 0
+
+
+def test_mix_with_a_hot_source(spark):
+    docs = spark.range(2000).select(F.when(F.col("id") < 1800, "hot").otherwise("cold").alias("source"), F.col("id").alias("doc_id"))
+    quota = spark.createDataFrame([("hot", 700), ("cold", 50)], "source string, quota long")
+    got = governance.selected(docs, quota, 1).collect()
+    h = {i: hashlib.sha256(f"1:{i}".encode()).hexdigest() for i in range(2000)}
+    assert {r.doc_id for r in got if r.source == "hot"} == set(sorted(range(1800), key=h.get)[:700])
+    assert sorted(r["rank"] for r in got if r.source == "cold") == [*range(1, 51)]
+    assert {r.doc_id: r["rank"] for r in governance.selected(docs, quota, 1, digits=5).collect()} == {r.doc_id: r["rank"] for r in got}
+    with pytest.raises(ValueError, match="hot lacks 200"):
+        governance.required(docs, spark.createDataFrame([("hot", 2000)], "source string, quota long"))
+
+
+def test_weights_are_checked(spark):
+    for rows in ([("a", 0.5), ("b", 0.4)], [("a", 1.5), ("b", -0.5)]):
+        with pytest.raises(ValueError, match="weights"):
+            governance.weights_checked(spark.createDataFrame(rows, "source string, weight double"))
+
+
+def test_percentiles_with_a_hot_group(spark):
+    from corpusloom.operators import feed
+
+    rows = [("hot", float((i * 7919) % 1000)) for i in range(900)] + [("cold", 1.0), ("cold", 3.0), ("cold", None), ("one", 5.0)]
+    got = {r.g: (r.n, r.p50, r.p99, r["median"]) for r in feed.percentiles(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    hot = sorted(v for g, v in rows if g == "hot")
+    assert got == {"hot": (900, hot[round(899 * 0.5)], hot[round(899 * 0.99)], (hot[449] + hot[450]) / 2), "cold": (2, 1.0, 3.0, 2.0), "one": (1, 5.0, 5.0, 5.0)}
+
+
+def test_settings_are_refused():
+    from corpusloom import settings
+
+    for kind, wrong in ((settings.Audit, {"words": 0}), (settings.Audit, {"similarity": 1.2}), (settings.Audit, {"licenses": ()}), (settings.Version, {"length": 1}), (settings.Compute, {"failing": 8}), (settings.Compute, {"hot_share": 1.0}), (settings.Feed, {"batch": 0}), (settings.Storage, {"writers": 0}), (settings.Comparison, {"seeds": (1, 1)})):
+        with pytest.raises(ValueError):
+            kind(**wrong)
+
+
+def test_attempts_and_markers(spark, tmp_path):
+    from corpusloom.operators import recovery
+
+    files.write_partitions(spark.range(100).select("id", (F.col("id") % 4).cast("int").alias("part")), str(tmp_path / "in"), "part")
+    found = files.listed(spark, str(tmp_path / "in"), "/part=([0-9]+)/", "p").select(F.col("p").cast("int").alias("part"), "paths")
+    rows = recovery.run_with_retry(spark, found, f"file://{tmp_path}/markers", 3).collect()
+    assert sorted((r.round, r.part, r.done, r.reused, r.n_rows) for r in rows) == [(1, k, k != 3, False, 25 * (k != 3)) for k in range(4)] + [(2, 3, True, False, 25)] + [(3, k, True, True, 25) for k in range(4)]
+    (tmp_path / "markers" / "part-00001.done.json").unlink()
+    assert {r.part for r in recovery.attempt(found, f"file://{tmp_path}/markers", None).collect() if not r.reused} == {1}
+
+
+def test_order_by_ids_and_batches(spark):
+    from corpusloom.operators import feed
+
+    rows = spark.range(5).select("id", F.concat(F.lit("x"), F.col("id")).alias("v"))
+    ids = spark.createDataFrame([(3, 0), (1, 1), (3, 2)], "id long, position int")
+    assert [r.v for r in feed.ordered_by(rows, ids).collect()] == ["x3", "x1", "x3"]
+    with pytest.raises(Exception, match="no row for 9"):
+        feed.ordered_by(rows, spark.createDataFrame([(9, 0)], "id long, position int")).collect()
+    assert [len(b) for b in feed.batches(rows, 2)] == [2, 2, 1]
+
+
+def test_scope_removes_stages(spark):
+    from corpusloom.session import Stages, scope
+
+    with scope(spark):
+        path = Path(Stages(spark).write(spark.range(3))._loom_path.removeprefix("file:"))
+        assert path.exists()
+    assert not path.exists()
+
+
+@pytest.mark.parametrize("lab", ["feed", "comparison"])
+def test_labs_run_validate_and_notice_changes(spark, tmp_path, lab):
+    from corpusloom import labs
+
+    out, q = str(tmp_path), catalog.queries()
+    first = labs.run(spark, q, lab, SMALL, out)
+    assert labs.run(spark, q, lab, SMALL, out) == first == labs.validate(spark, q, lab, SMALL, out)
+    assert (tmp_path / lab / "card.md").read_text().startswith(f"# {lab}")
+    manifest = tmp_path / lab / "manifest.json"
+    held = manifest.read_text()
+    manifest.write_text(held.replace('"rows": 1', '"rows": 2'))
+    with pytest.raises(ValueError, match="fingerprint"):
+        labs.validate(spark, q, lab, SMALL, out)
+    manifest.write_text(held)
+    name = labs.LABS[lab][0]
+    files.write_parquet(spark.range(1), f"{out}/{lab}/{name}")
+    with pytest.raises(ValueError, match=name):
+        labs.validate(spark, q, lab, SMALL, out)
+
+
+def test_state_hash():
+    import numpy as np
+
+    from corpusloom.labs import state_hash
+
+    x = {"a": [1, 2.0], "b": np.arange(3)}
+    assert state_hash(x) == state_hash({"b": np.arange(3), "a": [1, 2.0]}) and len({state_hash(v) for v in (x, {"a": [1, 2], "b": np.arange(3)}, {"a": [1, 2.0], "b": np.arange(4)}, [1, [2]], [1, 2])}) == 5
+
+
+def test_command_line(capsys):
+    from corpusloom import labs
+    from corpusloom.__main__ import RUN, VALIDATE, main
+
+    assert main(["environment"]) == 0 and "/root" not in capsys.readouterr().out
+    assert main(["list"]) == 0 and "quality_metrics_ref" in capsys.readouterr().out
+    assert set(RUN.values()) == set(VALIDATE.values()) == set(labs.LABS) and {x for own in labs.LABS.values() for x in own} <= set(catalog.queries())
