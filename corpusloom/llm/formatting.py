@@ -126,7 +126,7 @@ def copies(df: DataFrame, hashed: Callable[[str], bytes] = digest) -> DataFrame:
     same, out = F.pandas_udf(_same_fields, T.BooleanType()), None
     while True:
         several = rest.groupBy("sum_a", "sum_b").agg(F.min("source_id").alias("kept_source_id"), F.max("source_id").alias("last")).where("kept_source_id <> last").drop("last")
-        members = rest.join(several, ["sum_a", "sum_b"])
+        members = stages.write(rest.join(several, ["sum_a", "sum_b"]))  # only these have their fields read again
         kept = members.where("source_id = kept_source_id").groupBy("sum_a", "sum_b", "kept_source_id").agg(F.first("forms").alias("kept_forms"))
         held = members.where("source_id <> kept_source_id").drop("kept_source_id").join(kept, ["sum_a", "sum_b"])
         one = (F.size("forms") == 1) & (F.size("kept_forms") == 1)
