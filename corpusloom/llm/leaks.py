@@ -17,6 +17,7 @@ are one item or record that has every text of its rows; other columns are ignore
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +40,7 @@ SAMPLED, SAMPLED_EDITS = 12, 14
 #: Shortest runs of the classes below ``run``; a run with edits is in a class of its own edits.
 CLASSES = (20, 12, 6, 1)
 MOST_REPEATS = 1000
+LOW_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -83,25 +85,52 @@ def _words(codes: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def signatures(codes: np.ndarray, starts: np.ndarray, plan: Plan, repeat: int) -> np.ndarray:
-    """For the window at each start: a hash of the sampled places of its walk. codes: one text's, or several joined ones'."""
-    steps, sampled = 3 * plan.width, plan.sampled
-    seed = repeat * 1000 + plan.least
-    places = set(np.random.default_rng(seed).choice(steps, min(sampled, steps), replace=False).tolist()) if sampled < steps else set(range(steps))
-    at, end = starts.astype(np.int64).copy(), starts + plan.width
-    last = len(codes) - 1
-    bits = [_words(codes, seed * 8 + i) for i in range(-(-steps // 64))]
-    value = _words(codes, seed + 77)
-    out = np.full(len(starts), plan.least * 131 + repeat, dtype=np.uint64)
-    with np.errstate(over="ignore"):
+class Windows:
+    """The windows at the given starts of one text or several joined ones, ready to be embedded again and again.
+
+    Characters are numbers of a small alphabet, and each window is a row of its own that ends in a sign on which no walk moves on.
+    """
+
+    def __init__(self, codes: np.ndarray, starts: np.ndarray, plan: Plan):
+        self.plan, self.n = plan, len(starts)
+        seen = np.zeros(int(codes.max(initial=0)) + 1, dtype=bool)
+        seen[codes] = True
+        self.alphabet = np.flatnonzero(seen)
+        number = np.cumsum(seen, dtype=np.int32) - 1
+        cells = np.full((self.n, plan.width + 1), len(self.alphabet), dtype=np.int32)
+        for k in range(plan.width):
+            cells[:, k] = number[codes[starts + k]]
+        self.cells = cells.ravel()
+
+    def signatures(self, repeat: int) -> np.ndarray:
+        """For each window a hash of the sampled places of its walk."""
+        plan = self.plan
+        steps, seed = 3 * plan.width, repeat * 1000 + plan.least
+        sampled = min(plan.sampled, steps)
+        places = set(np.random.default_rng(seed).choice(steps, sampled, replace=False).tolist())
+        words = [_words(self.alphabet, seed * 8 + i) for i in range(-(-steps // 64))]
+        moves = np.zeros((steps, len(self.alphabet) + 1), dtype=np.int64)
         for j in range(steps):
-            here = np.minimum(at, last)
-            inside = at < end
-            if j in places:
-                out = (out ^ np.where(inside, value[here], np.uint64(0))) * np.uint64(0x100000001B3) + np.uint64(j)
-                out ^= out >> np.uint64(29)
-            at += inside & ((bits[j // 64][here] >> np.uint64(j % 64)) & np.uint64(1)).astype(bool)
-    return out.view(np.int64)
+            moves[j, :-1] = (words[j // 64] >> np.uint64(j % 64)) & np.uint64(1)
+        value = np.append(_words(self.alphabet, seed + 77), np.uint64(0))
+        out = np.full(self.n, plan.least * 131 + repeat, dtype=np.uint64)
+        row, some = plan.width + 1, 1 << 14  # so many at once that they stay in the cache
+        with np.errstate(over="ignore"):
+            for lo in range(0, self.n, some):
+                own = out[lo : lo + some]
+                at = np.arange(lo, lo + len(own), dtype=np.int64) * row
+                for j in range(max(places) + 1):
+                    here = self.cells.take(at)
+                    if j in places:
+                        own *= np.uint64(0x9FB21C651E98DF25)
+                        own += value.take(here)
+                    at += moves[j].take(here)
+            out ^= out >> np.uint64(29)
+        return out.view(np.int64)
+
+
+def signatures(codes: np.ndarray, starts: np.ndarray, plan: Plan, repeat: int) -> np.ndarray:
+    return Windows(codes, starts, plan).signatures(repeat)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -194,54 +223,68 @@ def item_segments(evaluation: DataFrame, run: int, max_edits: int, recall: float
     return records(evaluation).mapInPandas(rows, "eval_source_id string, segment string, least int").distinct()
 
 
-def item_signatures(segments: DataFrame, plans: dict[int, Plan]) -> DataFrame:
-    """(segment_id, signature, at) of every window of every segment, in every repetition."""
+Lookup = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for least, own in pdf.groupby("least"):
-                plan, texts = plans[least], list(own["segment"])
-                starts = [_starts(len(x), plan, 1) for x in texts]
-                begins = np.cumsum([0, *map(len, texts)])[:-1]
-                flat = np.concatenate([s + o for s, o in zip(starts, begins, strict=True)])
-                ids = np.repeat(own["segment_id"].to_numpy(), [len(s) for s in starts])
-                at, codes = np.concatenate(starts).astype(np.int32), _codes("".join(texts))
-                for repeat in range(plan.repeats):
-                    yield pd.DataFrame({"segment_id": ids, "signature": signatures(codes, flat, plan, repeat), "at": at})
 
-    return segments.select("segment_id", "segment", "least").mapInPandas(rows, "segment_id long, signature long, at int")
+def item_signatures(segments: list[str], least: list[int], plans: dict[int, Plan]) -> dict[tuple[int, int], Lookup]:
+    """By class and repetition: (signature, number of the segment, place in it) of every window of every segment, in order of signature, and
+    which low bits any of the signatures has, which most windows of a corpus fail."""
+    out = {}
+    for kind in sorted(set(least)):
+        plan, own = plans[kind], [k for k, x in enumerate(least) if x == kind]
+        starts = [_starts(len(segments[k]), plan, 1) for k in own]
+        begins = np.cumsum([0, *(len(segments[k]) for k in own)])[:-1]
+        who, at = np.repeat(np.array(own, dtype=np.int32), [len(s) for s in starts]), np.concatenate(starts).astype(np.int32)
+        windows = Windows(_codes("".join(segments[k] for k in own)), np.concatenate([s + o for s, o in zip(starts, begins, strict=True)]), plan)
+        for repeat in range(plan.repeats):
+            sign = windows.signatures(repeat)
+            order = np.argsort(sign, kind="stable")
+            low = np.zeros(1 << LOW_BITS, dtype=bool)
+            low[sign & ((1 << LOW_BITS) - 1)] = True
+            out[kind, repeat] = (sign[order], who[order], at[order], low)
+    return out
 
 
 def leaks(corpus: DataFrame, evaluation: DataFrame, run: int = RUN, max_edits: int = 0, recall: float = RECALL, block_signatures: int = BLOCK_SIGNATURES) -> DataFrame:
     """(eval_source_id, source_id, edits): every item and record such that the record holds a run of the item, with the fewest edits found.
 
-    Items' signatures are sent to the executors in blocks of bounded size, for each of which records are embedded, looked up and
-    verified in one pass without a shuffle: every block goes the same way and every text of every row is read whole. A held-out
-    set is small beside its corpus; one of more than a block costs a pass for each further block.
+    Items' segments are sent to the executors in blocks of bounded size, for each of which their windows are embedded once a worker and
+    records are embedded, looked up and verified in one pass without a shuffle: every block goes the same way and every text of every row
+    is read whole. A held-out set is small beside its corpus; one of more than a block costs a pass for each further block.
     """
     stages = Stages(corpus.sparkSession)
     lengths = range(1, run + 1) if max_edits else (*CLASSES, run)
     plans = {p.least: p for p in (plan_for(n, max_edits, recall, run) for n in lengths)}
     segments = stages.write(item_segments(evaluation, run, max_edits, recall).withColumn("segment_id", F.xxhash64("eval_source_id", "segment")))
-    items = stages.write(item_signatures(segments, plans))
-    blocks = max(1, -(-items.count() // block_signatures))
+    repeats = F.create_map(*(F.lit(x) for p in plans.values() for x in (p.least, p.repeats)))
+    made = segments.agg(F.coalesce(F.sum(F.length("segment") * repeats[F.col("least")]), F.lit(0))).first()[0]
+    blocks = max(1, -(-made // block_signatures))
     texts, out = spread(records(corpus)), None
     for block in range(blocks):  # segments are dealt by hash, with all their signatures
-        mine = F.pmod(F.col("segment_id"), F.lit(blocks)) == block
-        found = _in_one_pass(texts, segments.where(mine), items.where(mine), plans, run)
+        found = _in_one_pass(texts, segments.where(F.pmod(F.col("segment_id"), F.lit(blocks)) == block), plans, run)
         out = found if out is None else out.unionByName(found)
     return out.groupBy("eval_source_id", "source_id").agg(F.min("edits").alias("edits"))
 
 
-def _in_one_pass(texts: DataFrame, segments: DataFrame, items: DataFrame, plans: dict[int, Plan], run: int) -> DataFrame:
-    pdf = items.toPandas().sort_values("signature", kind="stable")  # a block at most
-    known = segments.toPandas().sort_values("segment_id")
-    who = np.searchsorted(known["segment_id"].to_numpy(), pdf["segment_id"].to_numpy())
-    used = [plans[x] for x in sorted(known["least"].unique())]
-    sent = texts.sparkSession.sparkContext.broadcast((list(known["eval_source_id"]), list(known["segment"]), pdf["signature"].to_numpy(), who.astype(np.int32), pdf["at"].to_numpy()))
+_HELD: dict[str, tuple] = {}
+
+
+def _held(sent: object, plans: dict[int, Plan]) -> tuple:
+    """A block's names, segments and signatures: made once by each worker, which keeps the last block only."""
+    key, names, segments, least = sent.value
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = (names, segments, item_signatures(segments, least, plans))
+    return _HELD[key]
+
+
+def _in_one_pass(texts: DataFrame, segments: DataFrame, plans: dict[int, Plan], run: int) -> DataFrame:
+    known = segments.orderBy("segment_id").collect()  # a block at most
+    used = [plans[x] for x in sorted({r["least"] for r in known})]
+    sent = texts.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [r["eval_source_id"] for r in known], [r["segment"] for r in known], [r["least"] for r in known]))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, segments, keys, who, where = sent.value
+        names, segments, lookups = _held(sent, plans)
         for pdf in batches:
             found: dict[tuple[int, int], int] = {}
             own = [letters(t) for t in pdf["text"]]
@@ -252,14 +295,17 @@ def _in_one_pass(texts: DataFrame, segments: DataFrame, items: DataFrame, plans:
                 flat = np.concatenate([s + o for s, o in zip(starts, offsets, strict=False)] or [np.zeros(0, np.int64)])
                 if not len(flat):
                     continue
-                row, tried = np.repeat(np.arange(len(own)), [len(s) for s in starts]), set()
+                row, tried, windows = np.repeat(np.arange(len(own)), [len(s) for s in starts]), set(), Windows(codes, flat, plan)
                 for repeat in range(plan.repeats):
-                    sign = signatures(codes, flat, plan, repeat)
-                    lo, hi = np.searchsorted(keys, sign, "left"), np.searchsorted(keys, sign, "right")
-                    for h in np.flatnonzero(hi > lo):
+                    sign = windows.signatures(repeat)
+                    keys, who, where, low = lookups[plan.least, repeat]
+                    hit = np.flatnonzero(low[sign & ((1 << LOW_BITS) - 1)])
+                    for h, first, last in zip(hit, np.searchsorted(keys, sign[hit], "left"), np.searchsorted(keys, sign[hit], "right"), strict=True):
+                        if first == last:
+                            continue
                         r = int(row[h])
                         j = int(flat[h] - offsets[r])
-                        for k in range(lo[h], hi[h]):
+                        for k in range(first, last):
                             item, i = int(who[k]), int(where[k])
                             if found.get((item, r)) == 0 or (item, r, i, j) in tried:
                                 continue
