@@ -178,21 +178,27 @@ def least_edits(part: str, text: str, most: int) -> int:
     return min(best, most + 1)
 
 
+def within(part: str, text: str, at: int, most: int, slack: int) -> int:
+    """The smallest edit distance between the part and a substring of the text that begins at most ``slack`` from its place ``at``; most + 1 where
+    it is larger. Of most + 1 pieces of the part one at least must stand unchanged near its own place, which few chance candidates have."""
+    cuts = [len(part) * k // (most + 1) for k in range(most + 2)]
+    part_of = lambda a, b: text[max(0, at + a - slack) : max(0, at + b + slack)]
+    if not any(part[a:b] in part_of(a, b) for a, b in zip(cuts, cuts[1:], strict=False)):
+        return most + 1
+    return least_edits(part, part_of(0, len(part)), most)
+
+
 def verified(item: str, text: str, i: int, j: int, plan: Plan, run: int) -> int | None:
     """The edits of the leak around a candidate's windows, or None where there is none."""
     need = min(run, len(item))
     if longest_run(item, text, i, j, plan.width) >= need:
         return 0
     most = plan.edits
-    if not most:
-        return None
-    around = text[max(0, j - most) : j + plan.width + most]
-    if least_edits(item[i : i + plan.width], around, most) > most:
+    if not most or within(item[i : i + plan.width], text, j, most, most) > most:
         return None
     best = None
     for a in range(max(0, i + plan.width - need), min(i, len(item) - need) + 1):
-        lo = max(0, j - (i - a) - most)
-        edits = least_edits(item[a : a + need], text[lo : j + need + most], most)
+        edits = within(item[a : a + need], text, j - (i - a), most, 2 * plan.edits)
         if edits <= most and (best is None or edits < best):
             best = edits
             most = max(0, edits - 1)
