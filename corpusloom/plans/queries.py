@@ -301,14 +301,22 @@ def split_check(s, d):
 # packing
 
 
-def _stream(s, d, *more):
+def _stream(s, d):
     """The token stream: first occurrences of each text only, like the reference's build-dataset. They are written once, as offsets
-    read them several times; the text is among the columns only if it is named."""
+    read them several times."""
     sized = raw(s, d).withColumn("n_tokens", (F.octet_length("text") + 2).cast("long"))
-    docs = one(s, dedup.first_rows(sized, "source_id", "domain", "pos", "n_tokens", *more))
+    docs = one(s, dedup.first_rows(sized, "source_id", "domain", "pos", "n_tokens"))
     return packing.offsets(docs.withColumn("doc", F.col("source_id")))
 
 
+def _placed_texts(s, d):
+    """(source_id, text, global_start) of the stream: texts are joined to their places, and take no part in deduplication and offsets."""
+    docs = one(s, dedup.identified(raw(s, d)).select("source_id", "pos", "text", "content_sha256", (F.octet_length("text") + 2).cast("long").alias("n_tokens")))
+    first = docs.groupBy("content_sha256").agg(F.min(F.struct("pos", "source_id", "n_tokens")).alias("k")).select("k.*")
+    placed = packing.offsets(one(s, first).withColumn("doc", F.col("source_id")))
+    return docs.select("source_id", "text").join(placed.select("source_id", "global_start"), "source_id")
+
+
 def _lean(s, d):
     return one(s, _stream(s, d).select("doc", "source_id", "domain", "pos", "n_tokens", "global_start", "global_end"))
 
@@ -337,14 +345,14 @@ def pack_provenance(s, d):
 
 
 def pack_sequences(s, d):
-    w = packing.token_windows(_stream(s, d, "text"))
+    w = packing.token_windows(_placed_texts(s, d))
     text = lambda c: F.sha2(F.array_join(c, ","), 256)
     return w.select(F.format_string("seq_%08d", "seq").alias("sequence_id"), text("input_ids").alias("input_sha"), text("labels").alias("label_sha"), F.aggregate("loss_mask", F.lit(0), lambda a, x: a + x).alias("trainable"))
 
 
 def sequence_contract_check(s, d):
     """Windows that break the contract (lengths, mask, shift): none are expected, one row a kind says how many."""
-    w = packing.token_windows(_stream(s, d, "text"))
+    w = packing.token_windows(_placed_texts(s, d))
     n = packing.LENGTH
     kinds = {"length": (F.size("input_ids") != n) | (F.size("labels") != n) | (F.size("loss_mask") != n), "mask": F.exists(F.zip_with("labels", "loss_mask", lambda x, m: (x != 0).cast("int") != m), lambda x: x), "shift": F.exists(F.zip_with(F.slice("input_ids", 2, n - 1), F.slice("labels", 1, n - 1), lambda a, b: a != b), lambda x: x)}
     return w.agg(*(F.count_if(c).alias(k) for k, c in kinds.items())).unpivot([], [*kinds], "violation", "n")
