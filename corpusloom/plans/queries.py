@@ -187,6 +187,12 @@ def near_dup_members(a: _Audit):
     return a.members
 
 
+def near_dup_links(a: _Audit):
+    """(source_id, class_id, n_links): one row a document, with the number of other classes that its class is similar to."""
+    ends = a.pairs.select(F.explode(F.array("left_source_id", "right_source_id")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return a.members.join(ends, "class_id", "left").select("source_id", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
 def contamination_pairs(a: _Audit):
     return a.leaks.orderBy("left_source_id", "right_source_id")
 
@@ -234,7 +240,7 @@ def policy_diff(a: _Audit):
     return governance.policy_difference(x, x.where(F.array_contains("reasons", "evaluation_contamination"))).withColumn("reasons", F.array_join("reasons", ","))
 
 
-AUDITED = (shingles, jaccard_scalar, truth_outcomes, dedup_confusion, near_dup_pairs, near_dup_members, contamination_pairs, dup_clusters, quality_decision, reason_counts, quality_metrics, policy_candidate, policy_diff)
+AUDITED = (shingles, jaccard_scalar, truth_outcomes, dedup_confusion, near_dup_pairs, near_dup_members, near_dup_links, contamination_pairs, dup_clusters, quality_decision, reason_counts, quality_metrics, policy_candidate, policy_diff)
 
 
 # mixing

@@ -107,6 +107,7 @@ def _audited(suffix: str) -> dict[str, str]:
             SELECT tp, fp, fn, tn, CAST(round_even(p, 6) AS DOUBLE) AS precision, CAST(round_even(q, 6) AS DOUBLE) AS recall, CAST(CASE WHEN p + q = 0 THEN 0.0 ELSE round_even(2 * p * q / (p + q), 6) END AS DOUBLE) AS f1 FROM r""",
         "near_dup_pairs": f"WITH {LAB}, {sets}, {pairs} SELECT left_source_id, right_source_id, round_even(j, 6) AS similarity FROM pairs",
         "near_dup_members": f"WITH {LAB}, {sets} SELECT source_id, class_id FROM lab_members",
+        "near_dup_links": f"WITH {LAB}, {sets}, {pairs}, ends AS (SELECT unnest([left_source_id, right_source_id]) AS c FROM pairs) SELECT m.source_id, m.class_id, count(e.c) AS n_links FROM lab_members m LEFT JOIN ends e ON e.c = m.class_id GROUP BY m.source_id, m.class_id",
         "contamination_pairs": f"WITH {LAB}, {EVAL}, {sets}, {_sets('ev', words)}, {leaks} SELECT left_source_id, right_source_id, CAST(round_even(j, 6) AS DOUBLE) AS similarity FROM leaks",
         "dup_clusters": f"WITH RECURSIVE {LAB}, {sets}, {pairs}, {CLUSTERS} SELECT source_id, cluster_id, n_members FROM clusters",
         "quality_decision": f"{every} SELECT source_id, CASE WHEN reasons = '' THEN 'accept' ELSE 'reject' END AS decision, reasons FROM decisions",
