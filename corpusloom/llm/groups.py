@@ -26,7 +26,7 @@ def _jump(stages: Stages, parent: DataFrame) -> DataFrame:
         stages.drop(parent)
         parent = done
         if parent.where("moved").isEmpty():
-            return parent.select("v", "p")
+            return parent
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -46,13 +46,17 @@ def components(edges: DataFrame) -> DataFrame:
         rounds.append(tree)
         left = graph.join(tree.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a")
         ends = left.join(tree.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b").where("pa <> pb")
-        graph = stages.write(ends.select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct())
+        done, graph = graph, stages.write(ends.select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct())
+        stages.drop(done)
     if not rounds:
         return graph.select(F.col("a").alias("v"), F.col("b").alias("label"))
-    labels = rounds[-1].select("v", F.col("p").alias("label"))
+    held, labels = rounds[-1], rounds[-1].select("v", F.col("p").alias("label"))
     for tree in reversed(rounds[:-1]):  # roots of an earlier round are vertices of the next, or stay
         known = labels.select(F.col("v").alias("p"), "label")
         labels = stages.write(tree.join(known, "p", "left").select("v", F.coalesce("label", "p").alias("label")))
+        stages.drop(held)
+        stages.drop(tree)
+        held = labels
     return labels
 
 
